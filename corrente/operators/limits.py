@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import HIDDEN, Expression, column, truth
 from ..plans.durable import materialised
-from .base import Base
+from .base import Base, Desc
 
 #: Distinct keys that one task sorts by a comparison, and how many key samples may set their bounds.
 KEYS_A_BUCKET, MAX_BUCKETS = 4096, 512
@@ -63,7 +63,7 @@ class Limits(Base):
         ``keys`` states the same order by sort keys of the key, which is a plain sort.  A comparer is applied to distinct keys only: a sample of them bounds buckets, which are sorted one by one, and every element gets the rank of its key.  So a key that a third of all elements have costs one comparison."""
         k = column(key, self.row)
         if keys is not None:
-            return self._ordered_by([(column(x.key, self.row), False) if hasattr(x, "key") else (column(x, self.row), True) for x in keys(k)])
+            return self._ordered_by([(column(x.key, self.row), False) if isinstance(x, Desc) else (column(x, self.row), True) for x in keys(k)])
         if comparer is None:
             raise ValueError("sort_by_using needs a comparer or keys")
         keyed = self.frame.withColumn("__key", k)
