@@ -39,7 +39,7 @@ RULES = (
     ("access", "AKIA[A-Z0-9]{12}", "AKIA[A-Z0-9]+", 16, 0),
     ("hex", "[0-9a-f]{32}", "[0-9a-f]+", 32, 0),
     ("github", "gh[pousr]_[A-Za-z0-9]{6}", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    ("slack", "xox[abprs]\\-[0-9A-Za-z]{4}", "xox[abprs]\\-[0-9A-Za-z\\-]{10,}", 0, 0),
+    ("slack", "xox[abprs]\\-[0-9A-Za-z\\-]{4}", "xox[abprs]\\-[0-9A-Za-z\\-]{10,}", 0, 0),
     ("google", "AIza[0-9A-Za-z_\\-]{4}", "AIza[0-9A-Za-z_\\-]{35}", 0, 0),
     ("stripe", "[sr]k_live_", "[sr]k_live_[0-9A-Za-z]{16,}", 0, 0),
     ("jwt", "eyJ[0-9A-Za-z_\\-]{5}", "eyJ[0-9A-Za-z_\\-]{8,}\\.[0-9A-Za-z_\\-]{8,}\\.[0-9A-Za-z_\\-]{8,}", 0, 0),
