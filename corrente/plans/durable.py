@@ -15,7 +15,9 @@ def materialised(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"corrente-{uuid.uuid4().hex}"))
-    return df.checkpoint(eager=True)
+    # a frame over the stored rows alone: the plan before it would pass on its estimated size, and that of a join is a product, so rounds of joins would reach numbers that fill the driver
+    stored = df.checkpoint(eager=True)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(stored.queryExecution().logical().rdd(), stored.schema(), False), df.sparkSession)
 
 
 def estimated_bytes(df: DataFrame) -> int:
