@@ -95,13 +95,16 @@ def stratum_copies(strata: DataFrame, solved: DataFrame) -> DataFrame:
     out = out.withColumn("upto", F.sum(F.col("n") * F.col("r")).over(by_size))
     out = out.withColumn("m", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("n") * F.col("r") + 0.5))
     out = materialised(out.withColumn("m", F.greatest(F.lit(0), F.least(F.col("m"), CAP * F.col("n"))).cast("long")).drop("r", "upto"))
+    all_of = Window.partitionBy("skey")
+    larger = all_of.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(FIXES):
-        all_of = Window.partitionBy("skey")
         out = out.withColumn("gap", F.round(F.col("target")).cast("long") - F.sum(F.col("m") * F.col("size")).over(all_of))
-        slack = F.when(F.col("gap") > 0, CAP * F.col("n") - F.col("m")).otherwise(F.col("m"))
-        best = F.max(F.when((slack > 0) & (F.col("size") <= F.abs("gap")), F.col("size"))).over(all_of)
-        k = F.least(slack, F.floor(F.abs("gap") / F.col("size")).cast("long"))
-        out = out.withColumn("best", best).withColumn("m", F.when(F.col("size") == F.col("best"), F.col("m") + F.signum(F.col("gap").cast("double")).cast("long") * k).otherwise(F.col("m"))).drop("gap", "best")
+        fits = F.col("size") <= F.abs("gap")
+        slack = F.when(fits, F.when(F.col("gap") > 0, CAP * F.col("n") - F.col("m")).otherwise(F.col("m"))).otherwise(0)
+        # from the largest that fit down, as many as the gap has words for
+        left = F.abs("gap") - F.coalesce(F.sum(slack * F.col("size")).over(larger), F.lit(0))
+        k = F.greatest(F.lit(0), F.least(slack, F.floor(left / F.col("size")).cast("long")))
+        out = out.withColumn("m", F.col("m") + F.signum(F.col("gap").cast("double")).cast("long") * k).drop("gap")
     return out.select("skey", "size", "n", "m")
 
 

@@ -38,7 +38,9 @@ def test_targets_and_taken_words(docs, texts):
         assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[s] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 0.01 * target[s] + 30, (s, taken[s], target[s])
+        # one text may be longer than all that its source should give
+        largest = max(c for c, x in zip(counts, source, strict=True) if x == s)
+        assert abs(taken[s] - target[s]) <= max(0.01 * target[s] + 30, largest - target[s]), (s, taken[s], target[s])
     again = mixing.mix_report(docs.repartition(5)).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(out, key=key) == sorted(again, key=key)
