@@ -57,7 +57,9 @@ def buckets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     buf = chunk.buf
     upper = (buf >= 0x41) & (buf <= 0x5A)
     shape = upper[s] + 2 * upper[e - 1] + 4 * (buf[s] < 0x3A)
-    shape[1:] += 8 * (h[1:] == h[:-1])
+    again = np.append(False, h[1:] == h[:-1])[: len(h)]
+    again[off[:-1][off[:-1] < len(h)]] = False  # the last token of another row is no neighbour
+    shape = shape + 8 * again
     shape = shape.astype(np.uint64)
     mark = _MARK[buf[s]]
     shape[mark] = h[mark]
