@@ -102,11 +102,11 @@ class Base:
         return type(self)(self.df)
 
     def with_degree_of_parallelism(self, n: int) -> Self:
-        """At most n tasks (exactly n, if there were fewer) for what follows."""
+        """At most n tasks for what follows, without a shuffle up to what the cluster runs at once; beyond that n."""
         if n < 1:
             raise ValueError("the degree of parallelism must be 1 or more")
-        frame = self.frame
-        return type(self)(frame.coalesce(n) if frame.rdd.getNumPartitions() >= n else frame.repartition(n), self.directions)
+        few = n <= self.spark.sparkContext.defaultParallelism
+        return self._same(self.frame.coalesce(n) if few else self.frame.repartition(n))
 
     def cache(self) -> Self:
         """Keeps the rows once they are computed; a run that stops early does not shorten them."""

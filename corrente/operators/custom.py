@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Self
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.rows import HIDDEN, Expression, column
 from .base import Base
@@ -59,26 +62,24 @@ class Custom(Base):
     def flat_map_py(self, f: Callable[..., Iterable[Any]], schema: str, *columns: str) -> Self:
         """0 to n elements for each, in order: f gets the values of ``columns`` (all, if none are named) and gives the elements, as tuples if there are several columns."""
         take, hidden = list(columns) or self.columns, self._names()
-        out = [c.split()[0] for c in schema.split(",")]
-        inner = f"{HIDDEN}{len(hidden)}"
+        inner = [f"{HIDDEN}{len(hidden)}"] if self.directions is not None else []
+        full = self._hidden_schema(", ".join([*(f"{c} long" for c in inner), schema]))
+        kind = _arrow_schema(full)
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, len(batch), 1000):
-                    part = batch.iloc[lo : lo + 1000]
-                    rows, where, place = [], [], []
-                    for i, values in enumerate(part[take].itertuples(index=False, name=None)):
-                        found = list(f(*values))
-                        rows += [x if isinstance(x, tuple) else (x,) for x in found]
-                        where += [i] * len(found)
-                        place += range(len(found))
-                    made = pd.DataFrame(rows, columns=out)
-                    order = part[hidden].iloc[where].reset_index(drop=True)
-                    yield pd.concat([order.assign(**{inner: place}) if hidden else order, made], axis=1)
-
-        if self.directions is None:
-            return type(self)(self.frame.mapInPandas(work, schema))
-        return type(self)(self.frame.mapInPandas(work, self._hidden_schema(f"{inner} long, {schema}")), (*self.directions, True))
+                rows = []
+                orders, values = _tuples(batch, hidden), _tuples(batch, take)
+                for order, value in zip(orders, values, strict=True):
+                    for i, x in enumerate(f(*value)):
+                        rows.append((*order, *([i] if inner else []), *(x if isinstance(x, tuple) else (x,))))
+                        if len(rows) >= _ROWS:
+                            yield _batch(rows, kind)
+                            rows = []
+                if rows:
+                    yield _batch(rows, kind)
+
+        return type(self)(self.frame.mapInArrow(work, full), (*self.directions, True) if self.directions is not None else None)
 
     def fold_parallel_py(self, collector: Collector, schema: str = "value double") -> DataFrame:
         """The collector's result as one row: a state for each task, merged in pairs of growing groups, so no task merges more than a few hundred."""
@@ -86,66 +87,65 @@ class Custom(Base):
 
     def apply(self, collector: Collector) -> Any:
         """The collector's result as a value."""
-        return pickle_loads(_states(self.df, collector).first()[0])
+        found = _states(self.df, collector).first()
+        return collector.result(collector.init()) if found is None else pickle_loads(found[0])
 
     def fold_py(self, folder: Callable[[Any, Any], Any], seed: Any) -> Any:
-        """folder(state, element) in the order; one task streams through sorted batches and keeps only the state."""
+        """folder(state, element) in the order; one task streams through sorted batches and keeps only the state.  An element of one column is its value, else a tuple."""
         names = self.columns
-        rows = self._one_sorted_task()
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = seed
             for batch in batches:
-                for values in batch[names].itertuples(index=False):
-                    state = folder(state, values if len(names) > 1 else values[0])
-            yield pd.DataFrame({"state": [pickle_dumps(state)]})
+                for x in _elements(batch, names):
+                    state = folder(state, x)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle_dumps(state)], pa.binary())], names=["state"])
 
-        return pickle_loads(rows.mapInPandas(work, "state binary").first()[0])
+        found = self._one_sorted_task().mapInArrow(work, "state binary").first()
+        return seed if found is None else pickle_loads(found[0])  # no task runs for a relation that is known to be empty
 
     def scan_py(self, folder: Callable[[Any, Any], Any], seed: Any, kind: str) -> Self:
         """All states of fold_py, the seed first, as the column ``value``."""
-        names = self.columns
-        rows = self._one_sorted_task()
+        names, full = self.columns, f"{HIDDEN}0 long, value {kind}"
+        schema = _arrow_schema(full)
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state, at = seed, 0
-            yield pd.DataFrame({f"{HIDDEN}0": [0], "value": [state]})
             for batch in batches:
-                states = []
-                for values in batch[names].itertuples(index=False):
-                    state = folder(state, values if len(names) > 1 else values[0])
-                    states.append(state)
-                yield pd.DataFrame({f"{HIDDEN}0": range(at + 1, at + 1 + len(states)), "value": states})
-                at += len(states)
+                rows = []
+                for x in _elements(batch, names):
+                    state, at = folder(state, x), at + 1
+                    rows.append((at, state))
+                if rows:
+                    yield _batch(rows, schema)
 
-        return type(self)(rows.mapInPandas(work, f"{HIDDEN}0 long, value {kind}"), (True,))
+        first = self.spark.createDataFrame([(0, seed)], full)
+        return type(self)(first.unionByName(self._one_sorted_task().mapInArrow(work, full)), (True,))
 
     def fold_by_py(self, key: Expression, folder: Callable[[Any, Any], Any], init: Callable[[], Any], kind: str) -> Self:
         """Columns key and value: folder(state, element) over each key's elements in their order.  Keys are dealt out and sorted with the order behind them, so a task streams through a key, however many elements it has."""
         names, k = self.columns, column(key, self.row)
         rows = self.frame.withColumn("__key", k)
         rows = rows.repartition("__key").sortWithinPartitions(F.col("__key").asc_nulls_first(), *self._order())
+        full = f"key {rows.schema['__key'].dataType.simpleString()}, value {kind}"
+        schema = _arrow_schema(full)
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            nothing = object()
-            now, state = nothing, None
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun, now, state = False, None, None
             for batch in batches:
-                keys, states = [], []
-                for values in batch[["__key", *names]].itertuples(index=False, name=None):
-                    x = values[1:] if len(names) > 1 else values[1]
-                    mine = None if pd.isna(values[0]) and not isinstance(values[0], float) else values[0]
-                    if now is nothing or not (mine == now or (mine is None and now is None) or (mine != mine and now != now)):
-                        if now is not nothing:
-                            keys.append(now)
-                            states.append(state)
-                        now, state = mine, init()
+                done = []
+                for k, x in zip(batch.column("__key").to_pylist(), _elements(batch, names), strict=True):
+                    if not begun or not (k == now or (k != k and now != now)):  # NaN is one key
+                        if begun:
+                            done.append((now, state))
+                        begun, now, state = True, k, init()
                     state = folder(state, x)
-                yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "value": pd.Series(states, dtype=object)})
-            if now is not nothing:
-                yield pd.DataFrame({"key": pd.Series([now], dtype=object), "value": pd.Series([state], dtype=object)})
+                if done:
+                    yield _batch(done, schema)
+            if begun:
+                yield _batch([(now, state)], schema)
 
-        key_kind = rows.schema["__key"].dataType.simpleString()
-        return type(self)(rows.mapInPandas(work, f"key {key_kind}, value {kind}"))
+        return type(self)(rows.mapInArrow(work, full))
 
     def lateral_udtf(self, udtf: Any, *arguments: Column | Expression) -> Self:
         """The rows of a Python table function for each element, beside it; without an order among them."""
@@ -162,6 +162,26 @@ class Custom(Base):
         return ", ".join([*(f"{c} {self._frame.schema[c].dataType.simpleString()}" for c in self._names()), schema])
 
 
+#: Rows of a batch that is built from Python values.
+_ROWS = 10_000
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T.DataType.fromDDL(ddl))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _tuples(batch: pa.RecordBatch, names: list[str]) -> Iterable[tuple]:
+    return zip(*(batch.column(n).to_pylist() for n in names), strict=True) if names else [()] * batch.num_rows
+
+
+def _elements(batch: pa.RecordBatch, names: list[str]) -> Iterable[Any]:
+    return _tuples(batch, names) if len(names) > 1 else batch.column(names[0]).to_pylist()
+
+
 def pickle_dumps(x: Any) -> bytes:
     from pyspark import cloudpickle
 
