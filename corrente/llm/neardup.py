@@ -6,14 +6,17 @@ shingle is a Poisson process of rate its weight; every arrival falls into one of
 the registers, a register keeps its first arrival, and a process ends once its
 time exceeds every register.  Two texts agree in a register with the probability
 Jaccard similarity of their bags.  Bands of registers make buckets; texts that
-share a bucket are compared with the bucket's pivot, not with each other, and a
-link counts only if the exact similarity is ``SIMILARITY`` or more.
+share a bucket are compared with the bucket's pivot, not with each other, by a
+byte of each register first, and a link counts only if the exact similarity is
+``SIMILARITY`` or more.
 
 Equal texts (in words) are one entry from the start.  The pivot of a bucket
 differs by band, so two similar texts meet through many.  Afterwards every
 bucket that still holds several classes gets new pivots, round after round,
-until a round joins no classes.  Classes are the connected components of the
-links, found by label propagation with pointer jumping over checkpoints.
+until a round joins no classes; a link that joins two joins them as wholes.
+Classes are the connected components of the links, found by label propagation
+with pointer jumping: in one task up to ``LOCAL_LINKS`` links, beyond that over
+all tasks and checkpoints, with the same result.
 
 The size of bands makes a pair of similarity 0.8 share none with probability
 6e-5.  Entries are 64-bit hashes of their words.
@@ -39,6 +42,12 @@ from .textscan import WORD, Chunk, chunks, counted, mix64, ngrams, row_digest, s
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Registers kept as a byte each tell pairs that cannot be similar enough: at 0.8 less than this share agrees with probability 1e-7.
+LEAST_AGREEMENT = 0.65
+#: Pairs of two classes that are tested first, before all others whose classes still differ; up to FEW_PAIRS in all are tested at once.
+FIRST_PAIRS, FEW_PAIRS = 4, 20_000
+#: Links up to this number are joined into classes by one task (16 bytes each), more by all.
+LOCAL_LINKS = 1_000_000
 #: Ids of texts to compare up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -111,24 +120,27 @@ def _kept_schema(df: DataFrame, n: int) -> str:
 
 
 def signatures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, k (digest of the words; null without words) and the band keys."""
+    """The ``keep`` columns, k (digest of the words; null without words), the band keys and a byte of each register."""
     carried, n = docs.select(*keep, F.col(text_col).alias("__text")), len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, bands, sizes = [], [], []
+            digests, bands, sizes, bytes_of = [], [], [], []
             for chunk in chunks(batch.column(n)):
                 digest, rows, keys, counts = shingles(chunk)
                 digests.append(digest)
                 some = digest != 0
-                bands.append(band_keys(prob_minhash(rows, keys, weights(counts), chunk.n_rows, BANDS * ROWS))[some].reshape(-1))
+                holder = prob_minhash(rows, keys, weights(counts), chunk.n_rows, BANDS * ROWS)
+                bands.append(band_keys(holder)[some].reshape(-1))
+                small = (mix64(holder) >> np.uint64(56)).astype(np.uint8)
+                bytes_of += [x.tobytes() if y else None for x, y in zip(small, some.tolist(), strict=True)]
                 sizes.append(np.where(some, BANDS, 0))
             digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
             off = np.append(0, np.cumsum(np.concatenate(sizes) if sizes else [])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(signed(np.concatenate(bands) if bands else np.zeros(0, np.uint64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(signed(digest), mask=digest == 0), lists], names=[*keep, "k", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(signed(digest), mask=digest == 0), lists, pa.array(bytes_of, pa.binary())], names=[*keep, "k", "bands", "sig"])
 
-    return carried.mapInArrow(work, _kept_schema(carried, n) + "k long, bands array<long>")
+    return carried.mapInArrow(work, _kept_schema(carried, n) + "k long, bands array<long>, sig binary")
 
 
 def bags(docs: DataFrame, text_col: str) -> DataFrame:
@@ -147,6 +159,18 @@ def bags(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(work, "k long, bag binary")
 
 
+def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those (k, p) in which enough registers agree."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT if batch.num_rows else np.zeros(0, bool)))
+
+    both = pairs.select("k", "p").join(sigs, "k").join(sigs.toDF("p", "sig_p"), "p")
+    return both.select("k", "p", "sig", "sig_p").mapInArrow(work, "k long, p long")
+
+
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those (k, p) whose exact similarity is high enough."""
 
@@ -165,27 +189,55 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 ok[i] = probability_jaccard(*opened(memoryview(x.as_buffer())), *right) >= SIMILARITY - 1e-9
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array(ok))
 
-    with_k = pairs.join(held, "k")
-    both = with_k.withColumnRenamed("bag", "bag_k").join(held.toDF("p", "bag_p"), "p")
+    few = pairs.count() <= BROADCAST_IDS
+
+    def bags_of(end: str) -> DataFrame:
+        """Only the bags that are compared travel."""
+        return held.join(F.broadcast(pairs.select(F.col(end).alias("k")).distinct()), "k", "left_semi") if few else held
+
+    with_k = pairs.join(bags_of("k"), "k")
+    both = with_k.withColumnRenamed("bag", "bag_k").join(bags_of("p").toDF("p", "bag_p"), "p")
     return both.select("k", "p", "bag_k", "bag_p").mapInArrow(work, "k long, p long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(k, c) of every k of the edges (k, p): the smallest of its component."""
-    two = materialised(edges.unionByName(edges.select(F.col("p").alias("k"), F.col("k").alias("p"))).distinct())
+def _least_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, c) of the edges (k, p) of one task."""
+    ends = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    if not ends:
+        return
+    ids, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        if (low == root[x]).all() and (low == root[y]).all():
+            break
+        # the roots take the smaller label too, so whole trees move at once
+        for side in (x, y):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["k", "c"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """(k, c) of every end of the edges (k, p): the smallest id of its component.  Up to ``local`` edges (16 bytes each) are joined by one task, more by rounds of propagation over all tasks."""
+    if edges.count() <= local:
+        return materialised(edges.select("k", "p").coalesce(1).mapInArrow(_least_members, "k long, c long"))
+    two = materialised(edges.select("k", "p").unionByName(edges.select(F.col("p").alias("k"), F.col("k").alias("p"))).distinct())
     label = materialised(two.groupBy("k").agg(F.min("p").alias("c")).select("k", F.least("k", "c").alias("c")))
     while True:
         near = two.join(label.toDF("p", "d"), "p").groupBy("k").agg(F.min("d").alias("d"))
-        low = materialised(label.join(near, "k").select("k", F.least("c", "d").alias("c"), F.col("c").alias("old")))
-        jumped = low.join(low.select(F.col("k").alias("c"), F.col("c").alias("d")), "c").select("k", F.least("c", "d").alias("c"), "old")
-        jumped = materialised(jumped)
+        low = label.join(near, "k").select("k", F.least("c", "d").alias("c"), F.col("c").alias("old"))
+        jumped = materialised(low.join(low.select(F.col("k").alias("c"), F.col("c").alias("d")), "c").select("k", F.least("c", "d").alias("c"), "old"))
         label = jumped.select("k", "c")
         if jumped.where("c <> old").isEmpty():
             return label
 
 
 def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | None:
-    """(k, c): the class of every entry that is linked to another; entries: (k, bands), once each.  None: no bucket holds two."""
+    """(k, c): the class of every entry that is linked to another; entries: (k, bands, sig), once each.  None: no bucket holds two."""
     spread = entries.select("k", F.explode("bands").alias("b"))
     # xor with the bucket orders its entries, differently in each bucket, and gives them back
     shared = materialised(spread.groupBy("b").agg(F.min(F.col("k").bitwiseXOR(F.col("b"))).alias("lo"), F.max(F.col("k").bitwiseXOR(F.col("b"))).alias("hi")).where("lo <> hi").select("b", F.col("lo").bitwiseXOR(F.col("b")).alias("p")))
@@ -193,35 +245,57 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         return None
     member = materialised(spread.join(shared, "b"))
     needed = materialised(member.select("k").distinct())
-    small = needed.count() <= BROADCAST_IDS
-    held = materialised(bags(docs, text_col).join(F.broadcast(needed) if small else needed, "k", "left_semi").dropDuplicates(["k"]))
+    of_needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    held = materialised(bags(docs, text_col).join(of_needed, "k", "left_semi").dropDuplicates(["k"]))
+    sigs = materialised(entries.select("k", "sig").join(of_needed, "k", "left_semi"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return materialised(verified(materialised(agreeing(pairs, sigs)), held))
+
+    def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """Labels after the test of all pairs (k, p) of different classes, and whether any joined.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
+        joined = False
+        for most in (FIRST_PAIRS, None):
+            named = pairs.join(label.toDF("k", "ck"), "k", "left").join(label.toDF("p", "cp"), "p", "left")
+            apart = named.select("k", "p", F.coalesce("ck", "k").alias("ck"), F.coalesce("cp", "p").alias("cp")).where("ck <> cp")
+            between = Window.partitionBy(F.least("ck", "cp"), F.greatest("ck", "cp")).orderBy(order_hash("k", "p", seed="pair"))
+            ranked = materialised(apart.withColumn("at", F.row_number().over(between)))
+            count = ranked.count()
+            if not count:
+                break
+            most = most if count > FEW_PAIRS else None
+            new = materialised(tested(ranked.where(F.col("at") <= most) if most else ranked).join(ranked, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p")))
+            if not new.isEmpty():
+                # classes join as wholes
+                into, joined = components(new), True
+                grown = label.join(into.toDF("c", "c2"), "c", "left").select("k", F.coalesce("c2", "c").alias("c"))
+                label = materialised(grown.unionByName(into.join(label, "k", "left_anti")).repartition("k"))
+            if most is None:
+                break
+            pairs = ranked.where(F.col("at") > most).select("k", "p")
+        return label, joined
+
     pairs = member.where("k <> p").groupBy("k", "p").agg(F.count("*").alias("n"))
     ranked = materialised(pairs.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "p"))))
-    # first every entry with the pivot that it meets most often, then the other pivots, unless both follow the same already
-    first = ranked.where("at = 1").select("k", "p")
-    edges = materialised(verified(first, held))
-    lead = edges.select(F.col("k"), F.col("p").alias("l"))
-    second = lead.join(lead.toDF("l", "l2"), "l", "left").select("k", F.coalesce("l2", "l").alias("l"))
-    rest = ranked.where("at > 1").select("k", "p").join(second, "k", "left").join(second.toDF("p", "m"), "p", "left")
-    rest = materialised(rest.where(F.coalesce("l", "k") != F.coalesce("m", "p")).select("k", "p"))
-    edges = materialised(edges.unionByName(verified(rest, held)))
-    tested = materialised(first.unionByName(rest))
-    turn = 0
+    # first every entry with the pivot that it meets most often, then the other pivots where these are of another class yet
+    label = components(tested(ranked.where("at = 1")))
+    label, _ = settled(label, ranked.where("at > 1").select("k", "p"))
+    either_way = [F.least("k", "p").alias("k"), F.greatest("k", "p").alias("p")]
+    done, member, turn = materialised(ranked.select(*either_way).distinct()), member.select("k", "b"), 0
     while True:
-        label = components(edges)
         turn += 1
         # entries without a link are a class each
-        now = member.select("k", "b").join(label, "k", "left").select("k", "b", F.coalesce("c", "k").alias("c"))
+        now = member.join(label, "k", "left").select("k", "b", F.coalesce("c", "k").alias("c"))
         pick = F.min(F.struct(order_hash("k", "b", seed=f"turn {turn}").alias("h"), "k", "c"))
-        mixed = materialised(now.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick.alias("x")).where("lo <> hi").select("b", F.col("x.k").alias("p"), F.col("x.c").alias("d")))
-        if mixed.isEmpty():
-            return label
-        more = now.join(mixed, "b").where("c <> d").select("k", "p").distinct().join(tested, ["k", "p"], "left_anti").join(tested.toDF("p", "k"), ["k", "p"], "left_anti")
-        more = materialised(more)
-        new = materialised(verified(more, held))
-        if new.isEmpty():
+        mixed = now.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick.alias("x")).where("lo <> hi").select("b", F.col("x.k").alias("p"), F.col("x.c").alias("d"))
+        # only the buckets of several classes go on
+        now = materialised(now.join(materialised(mixed), "b"))
+        more = materialised(now.where("c <> d").select(*either_way).distinct().join(done, ["k", "p"], "left_anti"))
+        label, joined = settled(label, more)
+        if not joined:
             return label
-        edges, tested = materialised(edges.unionByName(new)), materialised(tested.unionByName(more))
+        done = materialised(done.unionByName(more).repartition("k"))
+        member = now.select("k", "b")
 
 
 def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -231,7 +305,7 @@ def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id")
     rows = materialised(signatures(ident, "text", ["id", "th"]))
     some = rows.where(F.col("k").isNotNull())
     least = materialised(some.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n")))
-    linked = links(docs, materialised(some.select("k", "bands").dropDuplicates(["k"])), text_col)
+    linked = links(docs, materialised(some.select("k", "bands", "sig").dropDuplicates(["k"])), text_col)
     if linked is None:
         table = least
     else:
