@@ -46,6 +46,8 @@ BANDS, ROWS = 32, 6
 LEAST_AGREEMENT = 0.65
 #: Pairs of two classes that are tested first, before all others whose classes still differ; up to FEW_PAIRS in all are tested at once.
 FIRST_PAIRS, FEW_PAIRS = 4, 20_000
+#: Rows of a few numbers that one task takes; a bag counts as so many of them.
+ROWS_A_TASK, ROWS_A_BAG = 50_000, 20
 #: Links up to this number are joined into classes by one task (16 bytes each), more by all.
 LOCAL_LINKS = 1_000_000
 #: Ids of texts to compare up to this number are broadcast (8 bytes each); more are joined by shuffling.
@@ -236,6 +238,11 @@ def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
             return label
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` slim rows in as many tasks as they need: small rounds write few files, large ones lose no parallelism."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | None:
     """(k, c): the class of every entry that is linked to another; entries: (k, bands, sig), once each.  None: no bucket holds two."""
     spread = entries.select("k", F.explode("bands").alias("b"))
@@ -244,13 +251,18 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
     if shared.isEmpty():
         return None
     member = materialised(spread.join(shared, "b"))
-    needed = materialised(member.select("k").distinct())
-    of_needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    held = materialised(bags(docs, text_col).join(of_needed, "k", "left_semi").dropDuplicates(["k"]))
-    sigs = materialised(entries.select("k", "sig").join(of_needed, "k", "left_semi"))
+    size = member.count()
+    member = packed(member, size)
+    needed = materialised(packed(member.select("k").distinct(), size))
+    count = needed.count()
+    of_needed = F.broadcast(needed) if count <= BROADCAST_IDS else needed
+    held = packed(materialised(bags(docs, text_col).join(of_needed, "k", "left_semi").dropDuplicates(["k"])), ROWS_A_BAG * count)
+    sigs = packed(materialised(entries.select("k", "sig").join(of_needed, "k", "left_semi")), size)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return materialised(verified(materialised(agreeing(pairs, sigs)), held))
+        count = pairs.count()
+        near = materialised(packed(agreeing(pairs, sigs), count))
+        return packed(materialised(packed(verified(near, held), ROWS_A_BAG * near.count())), count)
 
     def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
         """Labels after the test of all pairs (k, p) of different classes, and whether any joined.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
@@ -259,29 +271,30 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
             named = pairs.join(label.toDF("k", "ck"), "k", "left").join(label.toDF("p", "cp"), "p", "left")
             apart = named.select("k", "p", F.coalesce("ck", "k").alias("ck"), F.coalesce("cp", "p").alias("cp")).where("ck <> cp")
             between = Window.partitionBy(F.least("ck", "cp"), F.greatest("ck", "cp")).orderBy(order_hash("k", "p", seed="pair"))
-            ranked = materialised(apart.withColumn("at", F.row_number().over(between)))
+            ranked = materialised(packed(apart.withColumn("at", F.row_number().over(between)), size))
             count = ranked.count()
             if not count:
                 break
             most = most if count > FEW_PAIRS else None
-            new = materialised(tested(ranked.where(F.col("at") <= most) if most else ranked).join(ranked, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p")))
+            new = tested(ranked.where(F.col("at") <= most) if most else ranked).join(ranked, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p"))
+            new = materialised(packed(new, count))
             if not new.isEmpty():
                 # classes join as wholes
                 into, joined = components(new), True
                 grown = label.join(into.toDF("c", "c2"), "c", "left").select("k", F.coalesce("c2", "c").alias("c"))
-                label = materialised(grown.unionByName(into.join(label, "k", "left_anti")).repartition("k"))
+                label = materialised(packed(grown.unionByName(into.join(label, "k", "left_anti")), size))
             if most is None:
                 break
             pairs = ranked.where(F.col("at") > most).select("k", "p")
         return label, joined
 
     pairs = member.where("k <> p").groupBy("k", "p").agg(F.count("*").alias("n"))
-    ranked = materialised(pairs.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "p"))))
+    ranked = materialised(packed(pairs.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "p"))), size))
     # first every entry with the pivot that it meets most often, then the other pivots where these are of another class yet
     label = components(tested(ranked.where("at = 1")))
     label, _ = settled(label, ranked.where("at > 1").select("k", "p"))
     either_way = [F.least("k", "p").alias("k"), F.greatest("k", "p").alias("p")]
-    done, member, turn = materialised(ranked.select(*either_way).distinct()), member.select("k", "b"), 0
+    done, member, turn = materialised(packed(ranked.select(*either_way).distinct(), size)), member.select("k", "b"), 0
     while True:
         turn += 1
         # entries without a link are a class each
@@ -289,12 +302,12 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         pick = F.min(F.struct(order_hash("k", "b", seed=f"turn {turn}").alias("h"), "k", "c"))
         mixed = now.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick.alias("x")).where("lo <> hi").select("b", F.col("x.k").alias("p"), F.col("x.c").alias("d"))
         # only the buckets of several classes go on
-        now = materialised(now.join(materialised(mixed), "b"))
-        more = materialised(now.where("c <> d").select(*either_way).distinct().join(done, ["k", "p"], "left_anti"))
+        now = materialised(packed(now.join(materialised(packed(mixed, size)), "b"), size))
+        more = materialised(packed(now.where("c <> d").select(*either_way).distinct().join(done, ["k", "p"], "left_anti"), size))
         label, joined = settled(label, more)
         if not joined:
             return label
-        done = materialised(done.unionByName(more).repartition("k"))
+        done = materialised(packed(done.unionByName(more), size))
         member = now.select("k", "b")
 
 
