@@ -336,10 +336,19 @@ def scan_two_phase(spark: SparkSession, d: str) -> DataFrame:
     return _scanned(spark, d, 0)
 
 
-@_query("scan_fold", "select list_reduce(list_prepend(cast(1 as bigint), list(k order by i)), lambda s, c: (s * 31 + c) % 1000003) as value, i from (select b.i, a.k, a.i j from (select p_partkey k, row_number() over (order by p_partkey) i from part) a, (select unnest(range(1, 101)) i) b where a.i <= b.i) group by i".replace("order by i", "order by j"))
+@_query("scan_fold", """
+with recursive p as (select p_partkey k, row_number() over (order by p_partkey) i from part),
+s as (select cast(0 as bigint) i, cast(1 as bigint) as value union all select p.i, (s.value * 31 + p.k) % 1000003 from s join p on p.i = s.i + 1)
+select i, value from s""")
 def scan_fold(spark: SparkSession, d: str) -> DataFrame:
-    part = _table("part", "p_partkey")(spark, d).take(100).map(lambda r: {"k": r.p_partkey})
-    return part.scan_fold(lambda s, x: (s * 31 + x.k) % 1000003, F.lit(1).cast("long")).mapi(lambda i, r: {"i": i, "value": r.value}).filter(lambda r: r.i > 0).df
+    part = _table("part", "p_partkey")(spark, d).map(lambda r: {"k": r.p_partkey})
+    return part.scan_fold(lambda s, x: (s * 31 + x.k) % 1000003, F.lit(1).cast("long")).mapi(lambda i, r: {"i": i, "value": r.value}).df
+
+
+@_query("scan_python", _SQL["scan_fold"])
+def scan_python(spark: SparkSession, d: str) -> DataFrame:
+    part = _table("part", "p_partkey")(spark, d).map(lambda r: {"k": r.p_partkey})
+    return part.scan_py(lambda s, k: (s * 31 + k) % 1000003, 1, "long").mapi(lambda i, r: {"i": i, "value": r.value}).df
 
 
 # searches
@@ -437,14 +446,14 @@ def map_python(spark: SparkSession, d: str) -> DataFrame:
     return cents.map_py(lambda x: pd.DataFrame({"event_id": x["event_id"], "digit": x["c"].abs() % 10 * x["c"].map(lambda v: -1 if v < 0 else 1)}), "event_id long, digit long").df
 
 
-@_query("udtf_expand", "select p_partkey, unnest(range(1, p_size + 1)) as i from part where p_size <= 10")
+@_query("udtf_expand", "select p_partkey, unnest(range(1, p_size + 1)) as i from part")
 def udtf_expand(spark: SparkSession, d: str) -> DataFrame:
     class Numbers:
         def eval(self, n: int):  # noqa: ANN202
             for i in range(1, n + 1):
                 yield (i,)
 
-    part = _table("part")(spark, d).filter(lambda r: r.p_size <= 10).map(lambda r: {"p_partkey": r.p_partkey, "n": r.p_size})
+    part = _table("part")(spark, d).map(lambda r: {"p_partkey": r.p_partkey, "n": r.p_size})
     return part.lateral_udtf(custom.table(Numbers, "i bigint"), lambda r: r.n).map(lambda r: {"p_partkey": r.p_partkey, "i": r.i}).df
 
 
