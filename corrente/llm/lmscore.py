@@ -5,9 +5,11 @@ counts on a log scale: an n-gram of count c is entered at levels 1 to
 1 + floor(log2 c), and a probe asks level after level until one is missing.
 Every shard of n-grams has its own stretch of 64-bit words in the filter; the
 bits of an n-gram at a level lie in one word.  The filter is broadcast; its size
-follows the number of n-grams up to ``MAX_FILTER_BYTES``, beyond which the
-smallest counts are left to the unigrams (the least count entered is the lowest
-for which the filter keeps its error rate).  Bigram and unigram estimates are
+follows the number of n-grams up to ``MAX_FILTER_BYTES``.  Beyond that it holds
+those of the larger counts (the least count entered is the lowest for which the
+filter keeps its error rate), and what a text has and the filter has not is
+looked up in the n-grams themselves: its keys go to their shards, a batch of
+texts at a time, and the levels come back.  Bigram and unigram estimates are
 interpolated with weights by the history's count, estimated by EM with
 leave-one-out counts.
 
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, id_remainder, materialised, order_hash
+from .common import arrow_limits, id_remainder, materialised
 from .textscan import NONBLANK, Chunk, chunks, mix64, row_of, signed
 
 HEAD = 1 << 18
@@ -39,7 +42,6 @@ MAX_FILTER_BYTES = 96 << 20
 FIRST_BITS, MORE_BITS = 6, 4
 WORDS_A_KEY = 10 / 64  # 10 bits an entry at any level
 SHARDS_A_PARTITION = 4
-EM_DOCS = 2000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNIGRAM = np.uint64(0x1F83D9ABFB41BD6B)
 
@@ -87,11 +89,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return _training(docs).mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _packed(keys: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shard of each sorted key, and 40 bits of it in two parts."""
     shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
     rest = (keys << np.uint64(shard_bits)) >> np.uint64(24)
-    return shard, (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), counts.astype(np.uint32)
+    return shard, (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
+
+
+def _unpacked(lo: bytes, hi: bytes) -> np.ndarray:
+    return np.frombuffer(hi, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(lo, np.uint32)
+
+
+def _blocks(shard: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Each shard and, for every column, its part as bytes."""
+    ids, first = np.unique(shard, return_index=True)
+    cut = np.append(first, len(shard))
+    return ids.astype(np.int32), [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
 
 
 def ngram_counts(docs: DataFrame, shard_bits: int) -> DataFrame:
@@ -105,11 +118,9 @@ def ngram_counts(docs: DataFrame, shard_bits: int) -> DataFrame:
                 every += [pairs(h, off)[0], unigram_keys(h)]
             if not every:
                 continue
-            shard, lo, hi, n = _packed(*np.unique(np.concatenate(every), return_counts=True), shard_bits)
-            ids, first = np.unique(shard, return_index=True)
-            cut = np.append(first, len(shard))
-            blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), blob(lo), blob(hi), blob(n)], names=["shard", "lo", "hi", "n"])
+            keys, n = np.unique(np.concatenate(every), return_counts=True)
+            ids, blobs = _blocks(*_packed(keys, shard_bits), n.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "lo", "hi", "n"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
@@ -131,10 +142,10 @@ def _levels(n: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """words: the bits; offset, size: of each shard's stretch, in words."""
+    """words: the bits; offset, size: of each shard's stretch, in words; least: the lowest count that is entered."""
 
-    def __init__(self, shard_bits: int, stretches: dict[int, np.ndarray]):
-        self.shard_bits = shard_bits
+    def __init__(self, shard_bits: int, stretches: dict[int, np.ndarray], least: int = 1):
+        self.shard_bits, self.least = shard_bits, least
         self.size = np.array([len(stretches.get(s, ())) for s in range(1 << shard_bits)], np.uint64)
         self.offset = np.concatenate(([0], np.cumsum(self.size[:-1]))).astype(np.uint64)
         self.words = np.concatenate([stretches[s] for s in sorted(stretches)]) if stretches else np.zeros(0, np.uint64)
@@ -184,28 +195,42 @@ def build_filter(grams: DataFrame, shard_bits: int) -> Filter:
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 n = np.frombuffer(x, np.uint32)
-                few = np.minimum(n, 1 << 12)
+                few = np.where(n < 1 << 12, n, np.exp2(_levels(n) - 1).astype(np.int64))
                 c, at = np.unique(few, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(np.bincount(at, _levels(n)).astype(np.int64))], names=["c", "entries"])
 
-    found = dict(tuple(r) for r in grams.select("n").mapInArrow(sizes, "c long, entries long").groupBy("c").agg(F.sum("entries")).collect())  # 4096 rows at most
+    found = dict(tuple(r) for r in grams.select("n").mapInArrow(sizes, "c long, entries long").groupBy("c").agg(F.sum("entries")).collect())  # some 4100 rows at most
     least, entries = 1, sum(found.values())
-    while entries * WORDS_A_KEY * 8 > MAX_FILTER_BYTES and least < 1 << 12:
-        entries -= found.get(least, 0)
-        least += 1
+    for c in sorted(found):
+        if entries * WORDS_A_KEY * 8 <= MAX_FILTER_BYTES:
+            break
+        entries -= found[c]
+        least = c + 1 if c < 1 << 12 else 2 * c
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, lo, hi, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rest = np.frombuffer(hi, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(lo, np.uint32)
-                n = np.frombuffer(n, np.uint32).astype(np.int64)
+                rest, n = _unpacked(lo, hi), np.frombuffer(n, np.uint32).astype(np.int64)
                 rest, n = rest[n >= least], n[n >= least]
                 size = int(np.ceil(_levels(n).sum() * WORDS_A_KEY)) + 1 if len(n) else 0
                 words = Filter.stretch(rest, n, size).tobytes() if size else b""
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([words], pa.binary())], names=["shard", "words"])
 
     rows = grams.mapInArrow(fill, "shard int, words binary").collect()  # MAX_FILTER_BYTES at most
-    return Filter(shard_bits, {r[0]: np.frombuffer(r[1], np.uint64) for r in rows if r[1]})
+    return Filter(shard_bits, {r[0]: np.frombuffer(r[1], np.uint64) for r in rows if r[1]}, least)
+
+
+class Told:
+    """Levels of keys that the filter has not; keys ascending."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.levels = keys, levels
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.levels[at], 0).astype(np.int64)
 
 
 class Model:
@@ -231,12 +256,25 @@ class Model:
             todo, at = todo[on], at[on] + 1
         return np.where(known, self.counts[np.minimum(found, last)], 0), known
 
-    def parts(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def missing(self, some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Keys of the n-grams of texts that neither the frequent tokens nor the filter hold, ascending."""
+        every = [k for h, off in some for k in (unigram_keys(h[~self.exact(h)[1]]), pairs(h, off)[0])]
+        keys = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        return keys[self.bloom.level(keys) == 0]
+
+    def level(self, keys: np.ndarray, told: Told | None) -> np.ndarray:
+        out = self.bloom.level(keys)
+        if told is not None:
+            open_ = np.flatnonzero(out == 0)
+            out[open_] = told.level(keys[open_])
+        return out
+
+    def parts(self, h: np.ndarray, off: np.ndarray, told: Told | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Exact count and whether frequent, estimated count, count of the history and of the pair, of each token."""
         exact, known = self.exact(h)
         c = exact.astype(float)
         rare = np.flatnonzero(~known)
-        c[rare] = expected(self.bloom.level(unigram_keys(h[rare])))
+        c[rare] = expected(self.level(unigram_keys(h[rare]), told))
         key, _ = pairs(h, off)
         hist = np.empty_like(c)
         if len(h):
@@ -246,7 +284,7 @@ class Model:
         # a pair cannot be where its parts are not
         pair = np.zeros(len(h))
         may = np.flatnonzero((c > 0) & (hist > 0))
-        pair[may] = expected(self.bloom.level(key[may]))
+        pair[may] = expected(self.level(key[may], told))
         return exact, known, c, hist, np.minimum(pair, np.minimum(c, hist))
 
     def bucket(self, hist: np.ndarray) -> np.ndarray:
@@ -261,19 +299,75 @@ class Model:
 _RATIOS = 128
 
 
-def fit_weights(docs: DataFrame, model: Model) -> np.ndarray:
-    """Interpolation weights by EM over leave-one-out estimates of a sample with a bound (EM_DOCS expected training texts)."""
-    train = docs.where(~F.col("held_out"))
-    n = train.count()
-    sample = train.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, EM_DOCS / max(n, 1)) * (1 << 30)).select("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(batch, body): doc_id, held_out and text of a batch of rows, compressed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = sent.value, np.zeros(64 * _RATIOS, np.int64)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                h, off = tokens(chunk)
-                _, _, c, hist, pair = m.parts(h, off)
+            for chunk in chunks(batch.column(2)):
+                sink, rows = pa.BufferOutputStream(), batch.slice(chunk.first_row, chunk.n_rows)
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "body"])
+                number += 1
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(work, "batch long, body binary")
+
+
+def _opened(body: bytes) -> tuple[pa.RecordBatch, list[Chunk], list[tuple[np.ndarray, np.ndarray]]]:
+    batch = pa.ipc.open_stream(body).read_next_batch()
+    some = list(chunks(batch.column(2)))
+    return batch, some, [tokens(c) for c in some]
+
+
+def looked_up(docs: DataFrame, grams: DataFrame, sent: Broadcast) -> DataFrame:
+    """(body, levels): texts in batches, and the levels of all their n-grams that the filter has not, by key."""
+    bodies = materialised(packed_texts(docs))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, blobs = _blocks(*_packed(m.missing(_opened(body.as_buffer())[2]), m.bloom.shard_bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids), *blobs], names=["batch", "shard", "lo", "hi"])
+
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        have = [_unpacked(lo, hi) for lo, hi in zip(held["lo"].to_pylist(), held["hi"].to_pylist(), strict=True)]
+        level = [_levels(np.frombuffer(n, np.uint32)).astype(np.uint8) for n in held["n"].to_pylist()]
+        told = Told(have[0], level[0]) if have else Told(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        levels = [told.level(_unpacked(lo, hi)).astype(np.uint8).tobytes() for lo, hi in zip(asked["lo"].to_pylist(), asked["hi"].to_pylist(), strict=True)]
+        return pa.table({"batch": asked["batch"], "shard": asked["shard"], "levels": pa.array(levels, pa.binary())})
+
+    asked = bodies.mapInArrow(ask, "batch long, shard int, lo binary, hi binary")
+    told = asked.groupBy("shard").cogroup(grams.groupBy("shard")).applyInArrow(answer, "batch long, shard int, levels binary")
+    # keys ascend with their shards
+    told = told.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("levels")).select("batch", F.col("levels.levels").alias("levels"))
+    return materialised(bodies.join(told, "batch", "left").select("body", "levels"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[pa.RecordBatch, list[Chunk], list[tuple[np.ndarray, np.ndarray]], Told | None]]:
+    """Rows of (doc_id, held_out, text), their chunks and tokens, and what was looked up for them, of such rows or of ``looked_up``."""
+    for batch in batches:
+        if batch.schema.names[0] != "body":
+            some = list(chunks(batch.column(2)))
+            yield batch, some, [tokens(c) for c in some], None
+            continue
+        for body, levels in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            rows, some, split = _opened(body.as_buffer())
+            yield rows, some, split, Told(m.missing(split), np.frombuffer(b"".join(levels or ()), np.uint8))
+
+
+def fit_weights(texts: DataFrame, sent: Broadcast) -> np.ndarray:
+    """Interpolation weights by EM over leave-one-out estimates of all training texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, out = sent.value, np.zeros(64 * _RATIOS, np.int64)
+        for rows, some, split, told in _texts(batches, m):
+            train = ~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for chunk, (h, off) in zip(some, split, strict=True):
+                use = np.repeat(train[chunk.first_row : chunk.first_row + chunk.n_rows], np.diff(off))
+                c, hist, pair = (x[use] for x in m.parts(h, off, told)[2:])
                 one = np.maximum(c, 1) / (m.n + m.v + 1)
                 two = np.maximum(pair - 1, 0) / np.maximum(hist - 1, 1)
                 ratio = np.clip(np.round(4 * np.log2(np.maximum(two, 1e-300) / one)) + 32, 0, _RATIOS - 1).astype(np.int64)
@@ -281,7 +375,7 @@ def fit_weights(docs: DataFrame, model: Model) -> np.ndarray:
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["k", "n"])
 
-    rows = sample.mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n")).collect()  # 64 x _RATIOS rows at most
+    rows = texts.mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n")).collect()  # 64 x _RATIOS rows at most
     counts = np.zeros((64, _RATIOS))
     for k, n in rows:
         counts[k // _RATIOS, k % _RATIOS] = n
@@ -296,7 +390,7 @@ def fit_weights(docs: DataFrame, model: Model) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text, held_out, h).  doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """docs: (doc_id, text, held_out).  doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     arrow_limits(spark)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
@@ -307,18 +401,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     grams = materialised(ngram_counts(docs, shard_bits))
     model = Model(build_filter(grams, shard_bits), np.array([r[0] for r in head], np.int64).view(np.uint64), np.array([r[1] for r in head], np.int64), n, v)
     del head
-    model.weights = fit_weights(docs, model)
+    texts = docs.select("doc_id", "held_out", "text")
+    sent = spark.sparkContext.broadcast(model)
+    if model.bloom.least > 1:
+        texts = looked_up(docs, grams, sent)
+    model.weights = fit_weights(texts, sent)
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch, some, split, told in _texts(batches, m):
             rows = batch.num_rows
             size, known, base, score = (np.zeros(rows, kind) for kind in (np.int64, np.int64, float, float))
             rare, rare_n = [], np.zeros(rows, np.int64)
-            for chunk in chunks(batch.column(2)):
-                h, off = tokens(chunk)
-                exact, frequent, c, hist, pair = m.parts(h, off)
+            for chunk, (h, off) in zip(some, split, strict=True):
+                exact, frequent, c, hist, pair = m.parts(h, off, told)
                 r, at = row_of(off), slice(chunk.first_row, chunk.first_row + chunk.n_rows)
                 size[at] = np.diff(off)
                 known[at] = np.bincount(r, frequent & (exact > 0), chunk.n_rows)
@@ -329,7 +426,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32)), pa.array(signed(np.concatenate(rare) if rare else np.zeros(0, np.uint64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (size, known, base, score)), rare], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-    scored = docs.select("doc_id", "held_out", "text").mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+    scored = texts.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
     scored = materialised(scored.withColumn("rid", F.monotonically_increasing_id()))
     if v > HEAD:
         rare = scored.select("rid", F.explode("rare").alias("h")).groupBy("h", "rid").agg(F.count("*").alias("k"))
@@ -342,5 +439,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), order_hash("doc_id", seed="lm").alias("h"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
     return score_documents(slim)

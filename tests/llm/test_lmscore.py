@@ -52,6 +52,18 @@ def test_a_full_filter_leaves_rare_pairs_to_the_words(docs, texts, monkeypatch):
     assert len(out) == len(texts) and all(math.isfinite(r.score) for r in out)
 
 
+@pytest.mark.parametrize("full", [0, 3000])
+def test_scores_do_not_change_when_the_filter_is_full(docs, monkeypatch, full):
+    monkeypatch.setattr(lmscore, "HEAD", 20)
+    monkeypatch.setattr(lmscore, "WORDS_A_KEY", 1.0)  # so that next to nothing is found by mistake
+    scores = []
+    for most in (1 << 30, full):
+        monkeypatch.setattr(lmscore, "MAX_FILTER_BYTES", most)
+        scores.append(sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in lmscore.report(docs).collect()), key=str))
+    assert len(scores[0]) == len(scores[1])
+    assert np.allclose([r[3] for r in scores[0]], [r[3] for r in scores[1]], rtol=1e-4)
+
+
 def test_empty_and_nothing_to_learn(spark, none):
     assert lmscore.report(none).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
