@@ -358,8 +358,8 @@ def _texts(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[pa.Rec
             yield rows, some, split, Told(m.missing(split), np.frombuffer(b"".join(levels or ()), np.uint8))
 
 
-def fit_weights(texts: DataFrame, sent: Broadcast) -> np.ndarray:
-    """Interpolation weights by EM over leave-one-out estimates of all training texts."""
+def ratio_counts(texts: DataFrame, sent: Broadcast) -> np.ndarray:
+    """(64, _RATIOS): tokens of all training texts by count of the history and leave-one-out ratio of the two estimates."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = sent.value, np.zeros(64 * _RATIOS, np.int64)
@@ -379,6 +379,11 @@ def fit_weights(texts: DataFrame, sent: Broadcast) -> np.ndarray:
     counts = np.zeros((64, _RATIOS))
     for k, n in rows:
         counts[k // _RATIOS, k % _RATIOS] = n
+    return counts
+
+
+def fit_weights(counts: np.ndarray) -> np.ndarray:
+    """Interpolation weights by EM over leave-one-out estimates."""
     r = np.exp2((np.arange(_RATIOS) - 32) / 4)
     r[0] = 0.0
     w = np.full(64, 0.5)
@@ -405,7 +410,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     if model.bloom.least > 1:
         texts = looked_up(docs, grams, sent)
-    model.weights = fit_weights(texts, sent)
+    model.weights = fit_weights(ratio_counts(texts, sent))
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

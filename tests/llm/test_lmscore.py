@@ -64,6 +64,13 @@ def test_scores_do_not_change_when_the_filter_is_full(docs, monkeypatch, full):
     assert np.allclose([r[3] for r in scores[0]], [r[3] for r in scores[1]], rtol=1e-4)
 
 
+def test_weights_rest_on_every_training_token(spark, monkeypatch):
+    seen, fit = [], lmscore.fit_weights
+    monkeypatch.setattr(lmscore, "fit_weights", lambda counts: seen.append(counts.sum()) or fit(counts))
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('a b w', id % 50) AS text")
+    assert seen == [] and lmscore.report(rows).first().train_tokens == seen[0] > 4 * 5000
+
+
 def test_empty_and_nothing_to_learn(spark, none):
     assert lmscore.report(none).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
