@@ -13,7 +13,10 @@ byte of each register first, and a link counts only if the exact similarity is
 Equal texts (in words) are one entry from the start.  The pivot of a bucket
 differs by band, so two similar texts meet through many.  Afterwards every
 bucket that still holds several classes gets new pivots, round after round,
-until a round joins no classes; a link that joins two joins them as wholes.
+until a round joins no classes; a link that joins two joins them as wholes.  In
+the buckets that hold several classes then, all pairs of different classes are
+tested: as pairs in those of up to ``PAIRED`` entries, in larger ones by tasks
+that hold the bags of two blocks of entries.
 Classes are the connected components of the links, found by label propagation
 with pointer jumping: in one task up to ``LOCAL_LINKS`` links, beyond that over
 all tasks and checkpoints, with the same result.
@@ -52,6 +55,8 @@ ROWS_A_TASK, ROWS_A_BAG = 50_000, 20
 LOCAL_LINKS = 1_000_000
 #: Ids of texts to compare up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Entries of a bucket up to which its last pairs are rows; beyond, blocks of BLOCK entries on average are compared as wholes.
+PAIRED, BLOCK = 32, 1000
 
 
 def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,6 +166,15 @@ def bags(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(work, "k long, bag binary")
 
 
+BAG_BYTES = 10
+
+
+def opened_bag(x: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights."""
+    n = len(x) // BAG_BYTES
+    return np.frombuffer(x, np.uint64, n), weights(np.frombuffer(x, np.uint16, n, 8 * n))
+
+
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Those (k, p) in which enough registers agree."""
 
@@ -177,18 +191,14 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those (k, p) whose exact similarity is high enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(x: memoryview) -> tuple[np.ndarray, np.ndarray]:
-            n = len(x) // 10
-            return np.frombuffer(x, np.uint64, n), weights(np.frombuffer(x, np.uint16, n, 8 * n))
-
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             last, right = None, None
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 y = y.as_buffer()
                 if last is None or y != last:
-                    last, right = y, opened(memoryview(y))
-                ok[i] = probability_jaccard(*opened(memoryview(x.as_buffer())), *right) >= SIMILARITY - 1e-9
+                    last, right = y, opened_bag(y)
+                ok[i] = probability_jaccard(*opened_bag(x.as_buffer()), *right) >= SIMILARITY - 1e-9
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array(ok))
 
     few = pairs.count() <= BROADCAST_IDS
@@ -202,6 +212,36 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("k", "p", "bag_k", "bag_p").mapInArrow(work, "k long, p long")
 
 
+def _similar_across(key: tuple, table: pa.Table) -> pa.Table:
+    """(k, p): links that join all classes of the rows (i, j, own, c, bag) that similar pairs join, of own block i and j if these differ."""
+    bag = [x.as_buffer() for x in table["bag"].combine_chunks()]
+    n = np.array([len(x) // BAG_BYTES for x in bag])
+    keys, w = zip(*map(opened_bag, bag), strict=True)
+    off, flat = np.append(0, np.cumsum(n)), np.concatenate(w)
+    vocabulary, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.add.reduceat(flat, off[:-1])
+    row = np.repeat(np.arange(len(n)), n)
+    own, (names, root) = table["own"].to_numpy(), np.unique(table["c"].to_numpy(), return_inverse=True)
+    cross = key[1].as_py() != key[2].as_py()
+    mine, found = np.zeros(len(vocabulary)), []
+    for x in range(len(n) - 1):
+        lo = off[x + 1]
+        mine[at[off[x] : lo]] = w[x]
+        a, b, r = mine[at[lo:]], flat[lo:], row[lo:] - x - 1
+        mine[at[off[x] : lo]] = 0.0
+        hit = np.flatnonzero(a)
+        a, b, r = a[hit], b[hit], r[hit]
+        rest = total[x + 1 :] - np.bincount(r, b, len(n) - x - 1)
+        # max(wa'/wa, wb'/wb) is wa'/wa at least, so this is not below the similarity
+        most = np.bincount(r, 1 / (total[x] / a + np.maximum(rest, 0.0)[r] / b), len(n) - x - 1)
+        for y in (np.flatnonzero(most >= SIMILARITY - 1e-8) + x + 1).tolist():
+            if root[x] != root[y] and not (cross and own[x] == own[y]) and probability_jaccard(keys[x], w[x], keys[y], w[y]) >= SIMILARITY - 1e-9:
+                found.append((names[root[x]], names[root[y]]))
+                root[root == root[y]] = root[x]
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"k": ends[:, 0], "p": ends[:, 1]})
+
+
 def _least_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, c) of the edges (k, p) of one task."""
     ends = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
@@ -264,6 +304,30 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         near = materialised(packed(agreeing(pairs, sigs), count))
         return packed(materialised(packed(verified(near, held), ROWS_A_BAG * near.count())), count)
 
+    def grown(label: DataFrame, new: DataFrame) -> DataFrame:
+        """Labels after links of classes, which join as wholes."""
+        into = components(new)
+        out = label.join(into.toDF("c", "c2"), "c", "left").select("k", F.coalesce("c2", "c").alias("c"))
+        return materialised(packed(out.unionByName(into.join(label, "k", "left_anti")), size))
+
+    def exhausted(label: DataFrame, now: DataFrame, done: DataFrame) -> DataFrame:
+        """Labels after the test of all pairs of different classes in the buckets of now: (k, b, c)."""
+        sizes = materialised(packed(now.groupBy("b").agg(F.count("*").alias("m")).where("m > 2"), size))  # of two, one was the pivot
+        rows = materialised(packed(now.join(sizes, "b"), size))
+        small = rows.where(F.col("m") <= PAIRED).select("b", "k", "c")
+        both = small.join(small.toDF("b", "p", "d"), "b").where("k < p AND c <> d")
+        label, _ = settled(label, materialised(both.select("k", "p").distinct().join(done, ["k", "p"], "left_anti")))
+        large = rows.where(F.col("m") > PAIRED).select("b", "k", "m")
+        if large.isEmpty():
+            return label
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        large = large.join(label, "k", "left").select("b", "k", F.coalesce("c", "k").alias("c"), blocks.alias("g"))
+        large = large.withColumn("own", F.pmod(order_hash("k", seed="block"), F.col("g")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
+        large = large.select("b", "k", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        new = large.join(held, "k").select("b", "i", "j", "own", "c", "bag").groupBy("b", "i", "j").applyInArrow(_similar_across, "k long, p long")
+        new = materialised(new.distinct())
+        return label if new.isEmpty() else grown(label, new)
+
     def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
         """Labels after the test of all pairs (k, p) of different classes, and whether any joined.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
         joined = False
@@ -279,10 +343,7 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
             new = tested(ranked.where(F.col("at") <= most) if most else ranked).join(ranked, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p"))
             new = materialised(packed(new, count))
             if not new.isEmpty():
-                # classes join as wholes
-                into, joined = components(new), True
-                grown = label.join(into.toDF("c", "c2"), "c", "left").select("k", F.coalesce("c2", "c").alias("c"))
-                label = materialised(packed(grown.unionByName(into.join(label, "k", "left_anti")), size))
+                label, joined = grown(label, new), True
             if most is None:
                 break
             pairs = ranked.where(F.col("at") > most).select("k", "p")
@@ -306,7 +367,7 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         more = materialised(packed(now.where("c <> d").select(*either_way).distinct().join(done, ["k", "p"], "left_anti"), size))
         label, joined = settled(label, more)
         if not joined:
-            return label
+            return exhausted(label, now, done.unionByName(more))
         done = materialised(packed(done.unionByName(more), size))
         member = now.select("k", "b")
 

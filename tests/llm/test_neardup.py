@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corrente.llm import neardup
@@ -97,6 +98,20 @@ def test_registers_estimate_the_similarity():
     assert abs(exact - similarity({k: weigh[k] for k in x.tolist()}, {k: weigh[k] for k in y.tolist()})) < 1e-9
 
 
+@pytest.mark.parametrize("paired", [1000, 32])
+def test_a_family_below_the_threshold_hides_no_pairs(spark, monkeypatch, paired):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    base = " ".join(f"w{i}" for i in range(200))
+    # two texts of the family are 196 / 254 alike, those of a planted pair 206 / 244
+    tails = [[f"t{i}x{j}" for j in range(29)] for i in range(300)]
+    for i in range(0, 30, 2):
+        tails[i + 1][:10] = tails[i][:10]
+    rows = [(i, base + " " + " ".join(t)) for i, t in enumerate(tails)]
+    out = {r.doc_id: r.class_id for r in neardup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: i - 1 if i < 30 and i % 2 else i for i in range(300)}
+
+
 def test_large_group_stays_linear(spark):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(i, base + f" v{i}") for i in range(300)]
