@@ -157,7 +157,7 @@ def bags(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(0), 4 << 20):
                 digest, rows, keys, counts = shingles(chunk)
-                counts = np.minimum(counts, 65535).astype(np.uint16)
+                counts = counts.astype(np.uint32)
                 cut = np.searchsorted(rows, np.arange(chunk.n_rows + 1))
                 some = np.flatnonzero(digest)
                 blobs = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(cut[some], cut[some + 1], strict=True)]
@@ -166,13 +166,13 @@ def bags(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(work, "k long, bag binary")
 
 
-BAG_BYTES = 10
+BAG_BYTES = 12
 
 
 def opened_bag(x: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights."""
     n = len(x) // BAG_BYTES
-    return np.frombuffer(x, np.uint64, n), weights(np.frombuffer(x, np.uint16, n, 8 * n))
+    return np.frombuffer(x, np.uint64, n), weights(np.frombuffer(x, np.uint32, n, 8 * n))
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:

@@ -112,6 +112,11 @@ def test_a_family_below_the_threshold_hides_no_pairs(spark, monkeypatch, paired)
     assert out == {i: i - 1 if i < 30 and i % 2 else i for i in range(300)}
 
 
+def test_bags_hold_large_counts(spark):
+    held = neardup.bags(spark.createDataFrame([("a " * 70_004,)], "text string"), "text").first().bag
+    assert np.allclose(neardup.opened_bag(held)[1], [1 + math.log(70_000)])
+
+
 def test_large_group_stays_linear(spark):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(i, base + f" v{i}") for i in range(300)]
