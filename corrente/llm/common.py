@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..plans.durable import materialised as materialised
+from ..plans.durable import removed as removed
+from ..plans.durable import shared_folder as shared_folder
 
 #: Bytes and rows that one Arrow batch brings to a Python worker at most (one row may be longer).
 ARROW_BYTES, ARROW_ROWS = 16 << 20, 4000
@@ -21,21 +26,11 @@ def arrow_limits(spark: SparkSession) -> None:
         have = spark.conf.get(key, None)
         if have is None or not have.lstrip("-").isdigit() or not 0 < int(have) <= value:
             spark.conf.set(key, str(value))
-    # workers on this machine find the package where the driver found it; a cluster gets it by --py-files
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")))))
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through checkpoint files in the shared folder named by spark.checkpoint.dir, so a lost executor costs no recomputation from the source.  Only where the session names none (tests) a temporary folder is used."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"corrente-{uuid.uuid4().hex}"))
-    # a frame over the stored rows alone: the plan before it would pass on its estimated size, and that of a join is a product, so rounds of joins would reach numbers that fill the driver
-    stored = df.checkpoint(eager=True)._jdf
-    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(stored.queryExecution().logical().rdd(), stored.schema(), False), df.sparkSession)
+    if spark.sparkContext.master.startswith("local"):
+        # workers on this machine find the package where the driver found it; a cluster gets it by --py-files
+        env = spark.sparkContext.environment
+        if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +47,73 @@ def order_hash(*columns: Column | str, seed: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, with underscores before it until the frame has no such column."""
-    have = {c.lower() for c in df.columns}
+def named(column: str, of: str = "") -> Column:
+    """A column by its exact name, which may hold dots and backticks; ``of``: the struct that it is a field of."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def packed_rows(docs: DataFrame, row: str = "row", **roles: str | Column) -> DataFrame:
+    """Whole rows as one struct beside the columns that an operator works on, so that no name of theirs meets one of its own."""
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias(row), *[(named(c) if isinstance(c, str) else c).alias(r) for r, c in roles.items()])
+
+
+def own_columns(docs: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``docs`` again, out of the struct."""
+    return [named(c, row).alias(c) for c in docs.columns]
+
+
+def added(have: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until it is none of those in use."""
+    have = {c.lower() for c in have}
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+def unused(df: DataFrame, name: str) -> str:
+    return added(df.columns, name)
+
+
+
+#: Keys (two longs each) up to this number are broadcast; more are joined by shuffling.
+BROADCAST_KEYS = 500_000
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two longs that tell rows apart by these columns, nulls included: hashes of 64 bits with unlike seeds."""
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in ("first", "second")]
+
+
+def _joined(docs: DataFrame, keys: DataFrame, by: list[Column], how: str) -> DataFrame:
+    own, other = [unused(docs, x) for x in ("own_a", "own_b")], [unused(docs, x) for x in ("key_a", "key_b")]
+    keys = materialised(keys.toDF(*other).distinct())
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    marked = docs.select("*", *[c.alias(n) for c, n in zip(by, own, strict=True)])
+    both = marked.join(keys, (F.col(own[0]) == F.col(other[0])) & (F.col(own[1]) == F.col(other[1])), how)
+    return both.select(*[named(c) for c in docs.columns])
+
+
+def without(docs: DataFrame, keys: DataFrame, by: list[Column]) -> DataFrame:
+    """The rows whose ``row_key`` (the columns ``by``) is not among ``keys``: whole texts move only beyond ``BROADCAST_KEYS``."""
+    return _joined(docs, keys, by, "left_anti")
+
+
+def within(docs: DataFrame, keys: DataFrame, by: list[Column]) -> DataFrame:
+    return _joined(docs, keys, by, "left_semi")
+
+
+def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column], work: Callable[..., list[pa.Array]], fields: str) -> DataFrame:
+    """The ``keep`` columns beside those that work gives for the Arrow arrays of ``inputs``; fields: names and kinds of these as DDL.  Kept columns pass under other names, so theirs may be any."""
+    k = len(keep)
+    slim = docs.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    more = StructType.fromDDL(fields).fields
+    names = [*slim.columns[:k], *[f.name for f in more]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *work(*batch.columns[k:])], names=names)
+
+    out = slim.mapInArrow(run, StructType([*slim.schema.fields[:k], *more]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=False)], *[F.col(f.name).alias(added(keep, f.name)) for f in more])

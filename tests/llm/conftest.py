@@ -6,7 +6,7 @@ import pytest
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("dan", "fer", "gil", "hor", "jun", "kel", "lim", "nos")]
 #: names that operators use inside, as columns of the input
-CLASHES = ["k", "bands", "th", "row", "weight", "h", "size", "copies", "shard", "slot", "target", "rank", "source_size", "skey", "part", "n_words", "id", "class_id", "kept", "y", "score"]
+CLASHES = ["k", "bands", "th", "row", "weight", "h", "size", "copies", "shard", "slot", "target", "rank", "source_size", "skey", "part", "n_words", "id", "class_id", "kept", "y", "score", "a.b", "slot.", "key_a", "own_a", "copy", "words", "n_hit", "x", "digest"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
