@@ -11,11 +11,17 @@ fit between the ends of the text) and an exact comparison of all words follow.
 
 No text and no pair of texts is shuffled.  Hits of one document come together,
 never those of a group of copies; n_hit is the length of the union of intervals.
-
-Nulls: a null or wordless text has no words, no hits and is not contaminated; a
-null or wordless item has no windows; an item without an id marks words but is
-not counted among the items.  Repeated items and rows count as themselves (item
-ids once).  Empty tables give empty or clean results.
+Beyond ``MAX_BITS`` the bitmap marks more positions in vain, which costs time and
+changes no result.
+
+Defined results.  Nulls: a null or wordless text has no words, no hits and is
+not contaminated; a null or wordless item has no windows; an item without an id
+marks words but is not counted among the items.  Repeated items and rows count
+as themselves (item ids once).  Ties: windows that occur at one place all count.
+Very long texts are read to the end as one row; what leaves them grows with
+their marked positions.  Clashing names: kept columns stay as they are, an added
+column of the same name gets an underscore before its name.  Empty tables give
+empty or clean results.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialised, unused
+from .common import added, materialised, named, row_key, without
 
 WINDOW = 13
 #: Windows up to this count are broadcast (about 300 bytes each); more are joined by shuffling.
 BROADCAST_WINDOWS = 50_000
-BITS_A_WORD, MIN_BITS, MAX_BITS = 256, 1 << 12, 1 << 22
+#: Distinct words of windows up to this count are broadcast with their counts.
+BROADCAST_WORDS = 200_000
+BITS_A_WORD, MIN_BITS, MAX_BITS = 256, 1 << 12, 1 << 24
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,13 +64,12 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 
 def with_prefix(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(words, tok, o): each distinct window with its rarest word, by count over all documents, and that word's place."""
-    vocabulary = windows.select(F.explode("words").alias("tok")).distinct()
-    if vocabulary.count() <= 4 * BROADCAST_WINDOWS:
-        vocabulary = F.broadcast(vocabulary)
     # matched in any case first, as lower() is cheap; exact letters after
-    vocabulary = vocabulary.select(F.lower("tok").alias("low")).distinct()
+    vocabulary = materialised(windows.select(F.explode("words").alias("tok")).select(F.lower("tok").alias("low")).distinct())
+    # a common word stands in many windows, so its count is broadcast to them; beyond the bound the join is one of two exchanges, which adaptive execution splits
+    send = F.broadcast if vocabulary.count() <= BROADCAST_WORDS else (lambda x: x)
     said = docs.select(F.explode(F.split(text_col, _SEPARATORS)).alias("w")).select(F.lower("w").alias("low"))
-    counts = said.join(vocabulary, "low", "left_semi").groupBy("low").agg(F.count("*").alias("c"))
+    counts = send(materialised(said.join(send(vocabulary), "low", "left_semi").groupBy("low").agg(F.count("*").alias("c"))))
     parts = windows.select("words").distinct().select("words", F.posexplode("words").alias("o", "tok")).withColumn("low", F.lower("tok"))
     ranked = parts.join(counts, "low", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "tok", "o")).alias("best"))
     return ranked.select("words", F.col("best.tok").alias("tok"), F.col("best.o").alias("o"))
@@ -103,43 +110,41 @@ def _marked(text: Column, bitmap: tuple[list[int], int], window: int) -> Column:
 
 def scan(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """One row for each document: the ``keep`` columns, n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated."""
+    docs = docs.select(named(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[named(c).alias(f"k{i}") for i, c in enumerate(keep or [])]).alias("row"))
     windows = materialised(windows_of(items, item_id, item_text, window))
-    prefixes = materialised(with_prefix(windows, docs, text_col))
+    prefixes = materialised(with_prefix(windows, docs, "text"))
     few = prefixes.count() <= BROADCAST_WINDOWS
     send = F.broadcast if few else (lambda x: x)
     # a lone struct column, so that later projections do not repeat the scan of the text
-    read = docs.select(*(keep or []), _marked(F.col(text_col), _bitmap(prefixes), window).alias("__m")).select(*(keep or []), F.explode(F.array("__m")).alias("__m"))
-    base = materialised(read.select(F.monotonically_increasing_id().alias("__rid"), *(keep or []), F.col("__m.n").cast("long").alias("n_words"), F.col("__m.at").alias("__at")))
-    at = base.where(F.size("__at") > 0).select("__rid", "n_words", F.explode("__at").alias("m")).select("__rid", "n_words", "m.*")
+    read = docs.select("row", _marked(F.col("text"), _bitmap(prefixes), window).alias("m")).select("row", F.explode(F.array("m")).alias("m"))
+    base = materialised(read.select(F.monotonically_increasing_id().alias("rid"), "row", F.col("m.n").cast("long").alias("n_words"), F.col("m.at").alias("at")))
+    at = base.where(F.size("at") > 0).select("rid", "n_words", F.explode("at").alias("m")).select("rid", "n_words", "m.*")
     start, length = F.col("i") - F.col("o"), F.size("words")
     found = (
         at.join(send(prefixes), "tok")
         .where((start >= 0) & (start + length <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("first") + 1, F.lit(1)), length) == F.col("words")))
-        .select("__rid", start.alias("start"), length.alias("len"), "words")
+        .select("rid", start.alias("start"), length.alias("len"), "words")
         .distinct()
     )
     found = materialised(found)
     # union of the intervals of a document
-    by_start = Window.partitionBy("__rid").orderBy("start")
-    ends = found.groupBy("__rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    by_start = Window.partitionBy("rid").orderBy("start")
+    ends = found.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
     before = F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hits = ends.withColumn("add", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), before))).groupBy("__rid").agg(F.sum("add").cast("long").alias("n_hit"))
-    named = windows.where(F.col("item").isNotNull()).distinct()
-    which = found.select("__rid", "words").distinct().join(send(named), "words").groupBy("__rid").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    none = F.array().cast("array<string>")
-    out = base.drop("__at").join(hits.join(which, "__rid", "left"), "__rid", "left")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_items", F.size("item_ids").cast("long"))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out.select(*(keep or []), "n_words", "n_hit", "n_items", "item_ids", "contaminated")
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options: object) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    # the rows travel with the verdict as one struct, whatever their columns are called
-    row = unused(docs, "row")
-    packed = docs.select(F.struct(*docs.columns).alias(row), F.col(text_col).alias("text"))
-    out = scan(packed, items, text_col="text", keep=[row], **options)
-    return out.where(~F.col("contaminated")).select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
+    hits = ends.withColumn("add", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), before))).groupBy("rid").agg(F.sum("add").cast("long").alias("n_hit"))
+    told = windows.where(F.col("item").isNotNull()).distinct()
+    which = found.select("rid", "words").distinct().join(send(told), "words").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    out = base.drop("at").join(hits.join(which, "rid", "left"), "rid", "left")
+    n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))
+    more = {"n_words": F.col("n_words"), "n_hit": n_hit, "n_items": F.size(ids).cast("long"), "item_ids": ids, "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words"))}
+    return out.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep or [])], *[c.alias(added(keep or [], n)) for n, c in more.items()])
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", most_hit: int = 0, **options: object) -> DataFrame:
+    """The documents with at most ``most_hit`` hit words (none at all: a passage in a long text is as bad as in a short one), with all their columns.  Equal texts share their fate, so only keys of the texts that go travel."""
+    a, b = row_key(named(text_col))
+    out = scan(docs.select(a.alias("a"), b.alias("b"), named(text_col).alias("text")), items, keep=["a", "b"], **options)
+    return without(docs, out.where(F.col("n_hit") > most_hit).select("a", "b"), [a, b])
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
