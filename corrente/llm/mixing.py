@@ -13,9 +13,14 @@ error to the size of the smallest document that can absorb it.
 Copies for equal (source, size) are dealt by a fixed hash of the row, so reruns
 agree.  No document is taken more than three times.
 
-Nulls: a null text has size 0, a null source is a source of its own, ordered
-last; a null id hashes as null.  Documents of size 0 are taken 0 times.  Equal
-rows tie and share their copies.  An empty table gives an empty result.
+Defined results.  Nulls: a null text has size 0, a null source is a source of
+its own, ordered last; a null id hashes as null.  Documents of size 0 are taken
+0 times.  Ties: equal rows share their copies, which of them takes one more is
+open.  A very long text is one document whose size may exceed its source's
+target; it is then taken 0 times or as the systematic rounding says, so the
+source misses its target by less than that size.  Clashing names: own columns
+stay, an added column of the same name gets an underscore before its name.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialised, order_hash, unused
+from .common import materialised, named, order_hash, own_columns, packed_rows, unused
 
 CAP = 3
 MAX_STEPS, STEPS_A_CHECK, TOLERANCE, FIXES = 60, 6, 1e-9, 4
@@ -109,18 +114,15 @@ def stratum_copies(strata: DataFrame, solved: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", size: Column | None = None) -> DataFrame:
-    """Adds ``copies`` (0 to 3), ``size``, ``source_size`` and ``target`` to every row; columns of these names are replaced."""
-    keep = [c for c in docs.columns if c.lower() not in ("copies", "size", "source_size", "target")]
-    names = {x: unused(docs, x) for x in ("skey", "part", "h", "rank", "upto_part", "base", "extra")}
-    source = F.col(source_col)
-    skey = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
-    rows = docs.withColumn("__size", size if size is not None else word_count(F.col(text_col))).select(*keep, F.col("__size").alias("size"))
-    rows = rows.withColumn(names["skey"], skey).withColumn(names["h"], order_hash(F.col(id_col), F.col("size"), seed="mix")).withColumn(names["part"], F.pmod(F.col(names["h"]), F.lit(PARTS)).cast("int"))
-    parts = materialised(rows.groupBy(F.col(names["skey"]).alias("skey"), "size", F.col(names["part"]).alias("part")).agg(F.count("*").alias("k")))
+    """Adds ``size``, ``source_size``, ``target`` and ``copies`` (0 to 3) to every row."""
+    skey = F.coalesce(F.concat(F.lit("s"), named(source_col).cast("string")), F.lit("n"))
+    rows = packed_rows(docs, id=id_col, skey=skey, size=size if size is not None else word_count(named(text_col)))
+    rows = rows.withColumn("h", order_hash("id", "size", seed="mix")).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+    parts = materialised(rows.groupBy("skey", "size", "part").agg(F.count("*").alias("k")))
     strata = materialised(parts.groupBy("skey", "size").agg(F.sum("k").alias("n")))
-    named = strata.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
-    named = named.withColumn("source", F.when(F.col("skey") != "n", F.expr("substring(skey, 2)")))
-    sources = materialised(weighted_targets(named).withColumn("mean_size", F.col("source_size") / F.col("docs")).select("skey", "source_size", "target", "mean_size"))
+    of_source = strata.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
+    of_source = of_source.withColumn("source", F.when(F.col("skey") != "n", F.expr("substring(skey, 2)")))
+    sources = materialised(weighted_targets(of_source).withColumn("mean_size", F.col("source_size") / F.col("docs")).select("skey", "source_size", "target", "mean_size"))
     solved = solve_dual(strata, sources)
     copies = stratum_copies(strata, solved)
     by_part = Window.partitionBy("skey", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,15 +131,23 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
         .join(copies.select("skey", "size", "n", "m"), ["skey", "size"], "left")
         .withColumn("before", F.coalesce(F.sum("k").over(by_part), F.lit(0)))
         .select(
-            F.col("skey").alias(names["skey"]), "size", F.col("part").alias(names["part"]), "source_size", "target",
-            F.coalesce(F.floor(F.col("m") / F.col("n")), F.lit(0)).cast("long").alias(names["base"]),
-            F.coalesce(F.col("m") % F.col("n") - F.col("before"), F.lit(0)).alias(names["extra"]),
+            "skey", "size", "part", "source_size", "target",
+            F.coalesce(F.floor(F.col("m") / F.col("n")), F.lit(0)).cast("long").alias("base"),
+            F.coalesce(F.col("m") % F.col("n") - F.col("before"), F.lit(0)).alias("extra"),
         )
     )
-    on = [names["skey"], "size", names["part"]]
-    ranked = rows.withColumn(names["rank"], F.row_number().over(Window.partitionBy(*on).orderBy(names["h"], id_col)))
+    on = ["skey", "size", "part"]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*on).orderBy("h", "id")))
     out = ranked.join(materialised(share), on)
-    return out.select(*keep, "size", "source_size", "target", (F.col(names["base"]) + (F.col(names["rank"]) <= F.col(names["extra"])).cast("long")).alias("copies"))
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")}
+    return out.select(*own_columns(docs), *[c.alias(unused(docs, n)) for n, c in added.items()])
+
+
+def mixed(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with its own columns alone."""
+    rows = packed_rows(docs, **{x: options.get(f"{x}_col", d) for x, d in (("source", "source"), ("text", "text"), ("doc_id", "doc_id"))})
+    out = mix(rows.withColumn("words", word_count(F.col("text"))).drop("text"), size=F.col("words")).where("copies > 0")
+    return out.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select(*own_columns(docs))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

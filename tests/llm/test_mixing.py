@@ -60,5 +60,9 @@ def test_rates_solve_the_dual(spark):
 
 def test_own_columns_and_empty(docs, none):
     out = mixing.mix(docs)
-    assert out.columns == [c for c in docs.columns if c not in ("size", "copies", "source_size", "target")] + ["size", "source_size", "target", "copies"]
-    assert mixing.mix_report(none).count() == 0
+    assert out.columns == docs.columns + ["_size", "_source_size", "_target", "_copies"]  # own ones of these names stay
+    assert {r["size"] for r in out.select("size").collect()} == {"x"}
+    twice = mixing.mixed(docs)
+    assert twice.columns == docs.columns
+    assert twice.count() == out.agg({"_copies": "sum"}).first()[0]
+    assert mixing.mix_report(none).count() == 0 and mixing.mixed(none).count() == 0
