@@ -11,9 +11,11 @@ Only counts per cell (a table of at most ``CELLS`` rows, whatever the input)
 reach the driver.  A hot text does not matter: id and text together choose the
 cell, so copies spread over the ring.
 
-Nulls: a null text hashes and weighs as none; a null id hashes as null.  Equal
-rows tie, and any of them may take any of their slots.  An empty table gives an
-empty result.
+Defined results.  Nulls: a null text hashes and weighs as none; a null id hashes
+as null.  Ties: equal rows share a cell, and any of them may take any of their
+slots.  A very long text is one row like any other.  Clashing names: own columns
+stay, an added column of the same name gets an underscore before its name.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialised, order_hash, unused
+from .common import materialised, named, order_hash, own_columns, packed_rows, unused
 
 CELLS = 1 << 14
 VNODES = 64
@@ -69,19 +71,19 @@ def segments(counts: dict[int, int], n_shards: int, vnodes: int = VNODES, cells:
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES) -> DataFrame:
-    """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 within the shard) to every row; other columns stay, and those of these names are replaced."""
+    """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 within the shard) to every row."""
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
-    spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
-    h, cell, rank, lo, hi, base = (unused(docs, x) for x in ("ring_hash", "ring_cell", "ring_rank", "ring_lo", "ring_hi", "ring_base"))
-    placed = docs.withColumn(h, order_hash(F.col(id_col), F.col(text_col), seed="ring")).withColumn(cell, F.pmod(F.col(h), F.lit(CELLS)).cast("int"))
-    counts = {r[0]: r[1] for r in placed.groupBy(cell).agg(F.count("*")).collect()}
-    parts = spark.createDataFrame(segments(counts, n_shards, vnodes), f"`{cell}` int, `{lo}` long, `{hi}` long, shard int, `{base}` long")
-    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(h, id_col)).cast("long") - 1)
-    # at most CELLS + n_shards x vnodes rows
-    joined = ranked.join(F.broadcast(parts), cell).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
-    return joined.withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).select(*docs.columns, "shard", "slot")
+    placed = packed_rows(docs, id=id_col, h=order_hash(named(id_col), named(text_col), seed="ring")).withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))
+    counts = {r[0]: r[1] for r in placed.groupBy("cell").agg(F.count("*")).collect()}
+    parts = segments(counts, n_shards, vnodes)
+    # at most CELLS + n_shards x vnodes rows, unpacked from one literal
+    text = F.split(F.lit(";".join(",".join(map(str, p)) for p in parts)), ";")
+    parts = docs.sparkSession.range(1).select(F.explode(text).alias("p")).where("p <> ''").select(F.split("p", ",").alias("p"))
+    parts = parts.select(*[F.get("p", F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate((("cell", "int"), ("lo", "long"), ("hi", "long"), ("shard", "int"), ("base", "long")))])
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "id")).cast("long") - 1)
+    joined = ranked.join(F.broadcast(parts), "cell").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    return joined.select(*own_columns(docs), F.col("shard").alias(unused(docs, "shard")), (F.col("base") + F.col("rank") - F.col("lo")).alias(unused(docs, "slot")))
 
 
 def shard_report(docs: DataFrame, n_shards: int = 40) -> DataFrame:
