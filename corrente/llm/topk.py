@@ -8,16 +8,24 @@ triangle inequality gives: first the nearest few, whose k-th best score sets a
 radius, then all others that the radius reaches.  The bounds only skip annuli
 that cannot hold a result, so the answer is exact.
 
-Equal vectors are one entry with its k + 1 smallest ids, as no more of them can
-be among the k best of a query; a vector that a third of all rows share costs as
-much as any other.  Annuli of many vectors are split into blocks, and the
-queries of a block into groups, so that no task holds more than ``BLOCK``
-vectors and ``QUERIES`` queries.
-
-Vectors that are null or hold null, NaN or infinite components, and rows without
-an id, take no part.  Vectors are compared with those of their own length only.
-Rows of one id count as one row; ties go to the smaller id.  A query with fewer
-candidates returns them all.  Empty tables give empty results.
+Equal vectors are one entry with its k + 1 smallest ids (repeated ones as often
+as they occur), as no more of them can be among the k best of a query; a vector
+that a third of all rows share costs as much as any other.  Annuli of many
+vectors are split into blocks, and the queries of a block into groups, so that
+no task holds more than about ``BLOCK`` vectors and ``QUERIES`` queries.
+
+In many dimensions few annuli can be left out, so the work nears queries x rows;
+``top_k`` counts what it visited, if asked.
+
+Defined results.  Nulls: vectors that are null or hold null, NaN or infinite
+components take no part; a null id is no query, but its row is a candidate, and
+comes after all ids where scores tie.  Repeated rows: every row counts by
+itself; a query leaves out its own row only, not others of its id or vector, and
+a query row that occurs twice is answered twice.  Vectors are compared with
+those of their own length only.  Ties go to the smaller id.  Very long vectors
+are compared whole.  Clashing names: only the id and the vector are read, other
+columns are ignored.  A query with fewer candidates returns them all.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,16 +33,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, materialised, order_hash
+from .common import arrow_limits, materialised, named, order_hash
 
 BLOCK, QUERIES, MAX_PIVOTS, PIVOT_SAMPLE = 2048, 4096, 256, 4096
 _SLACK = 1e-6
+_PAIRS_A_BATCH = 20_000
 
 
 def quantised(vector: Column) -> Column:
@@ -43,9 +51,10 @@ def quantised(vector: Column) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    rows = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
-    return np.array(rows, np.int64) if rows else np.zeros((0, 0), np.int64)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A row for each list of ``width`` numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,17 +90,18 @@ class Pivots:
         return np.sqrt(np.maximum(d2, 0.0))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), the id and the score (inner product of the quantised vectors) of the k best of every query."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", stats: dict[str, int] | None = None) -> DataFrame:
+    """query_id, rank (from 1), the id and the score (inner product of the quantised vectors) of the k best of every query.  stats: gets how many pairs of a query and a block there are, and how many were visited."""
     spark = vectors.sparkSession
     arrow_limits(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    rows = vectors.select(named(id_col).cast("long").alias("id"), quantised(named(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("v").isNotNull())
     rows = materialised(rows)
-    by_vector = Window.partitionBy("v").orderBy("id")
-    first = rows.withColumn("at", F.dense_rank().over(by_vector)).where(F.col("at") <= k + 1)
-    distinct = first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    asked = rows.where("q").groupBy("v").agg(F.min("id").alias("qid"))
-    distinct = materialised(distinct.join(asked, "v", "left").withColumn("dim", F.size("v")))
+    by_vector = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last())
+    first = rows.withColumn("at", F.row_number().over(by_vector)).where(F.col("at") <= k + 1)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))), lambda x: x["id"])
+    asked = rows.where(F.col("q") & F.col("id").isNotNull())
+    distinct = first.groupBy("v").agg(ids.alias("ids")).join(asked.groupBy("v").agg(F.lit(True).alias("q")), "v", "left")
+    distinct = materialised(distinct.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q"), F.size("v").alias("dim"), F.monotonically_increasing_id().alias("key")))
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     dims = distinct.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
     index: dict[int, Pivots] = {}
@@ -100,44 +110,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
         index[dim] = Pivots(np.array([r[0] for r in sample], np.int64).reshape(len(sample), dim), float(longest), max(1, min(MAX_PIVOTS, n // BLOCK)))
     sent = spark.sparkContext.broadcast(index)  # at most MAX_PIVOTS vectors a length
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dim = batch.column(3).to_numpy()
+            dim = batch.column(1).to_numpy()
             pivot, dist = np.zeros(len(dim), np.int32), np.zeros(len(dim))
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
-                x = sent.value[int(d)].distances(_matrix(batch.column(0).take(pa.array(at))).reshape(len(at), d), False)
+                x = sent.value[int(d)].distances(_matrix(batch.column(0).take(pa.array(at)), int(d)), False)
                 pivot[at], dist[at] = x.argmin(1), x.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(dist)], names=["v", "ids", "qid", "dim", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(dist)], names=["v", "dim", "ids", "key", "pivot", "dist"])
 
-    keyed = materialised(distinct.select("v", "ids", "qid", "dim").mapInArrow(key, "v array<long>, ids array<long>, qid long, dim int, pivot int, dist double"))
+    keyed = materialised(distinct.select("v", "dim", "ids", "key").mapInArrow(near_pivot, "v array<long>, dim int, ids array<long>, key long, pivot int, dist double"))
     pivots = keyed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     rings = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(F.col("n") / BLOCK))).cast("int")
     pivots = materialised(pivots.withColumn("rings", rings))
     ring = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("dist") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("rings")), F.col("rings") - 1)).otherwise(0).cast("int")
-    keyed = keyed.join(F.broadcast(pivots), ["dim", "pivot"]).withColumn("ring", ring).select("v", "ids", "qid", "dim", "pivot", "ring", "dist")  # MAX_PIVOTS rows a length
+    keyed = keyed.join(F.broadcast(pivots), ["dim", "pivot"]).withColumn("ring", ring).select("v", "ids", "key", "dim", "pivot", "ring", "dist")  # MAX_PIVOTS rows a length
     cells = keyed.groupBy("dim", "pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("dim", "pivot", "ring").collect()
-    blocks = {}
+    blocks: dict[int, list[tuple]] = {}
     for i, c in enumerate(cells):
-        blocks.setdefault(c["dim"], []).append((i, c["pivot"], c["lo"], c["hi"], c["n"]))
+        blocks.setdefault(c["dim"], []).append((i, c["pivot"], c["lo"], c["hi"], c["n"], -(-c["n"] // BLOCK)))
     cell_rows = spark.createDataFrame([(c["dim"], c["pivot"], c["ring"], i, -(-c["n"] // BLOCK)) for i, c in enumerate(cells)], "dim int, pivot int, ring int, cell int, parts int")
     placed = keyed.join(F.broadcast(cell_rows), ["dim", "pivot", "ring"])
-    store = materialised(placed.select("cell", F.pmod(order_hash("v", seed="block"), F.col("parts")).cast("int").alias("part"), "v", "ids"))
-    parts = {i: -(-c["n"] // BLOCK) for i, c in enumerate(cells)}
-    queries = materialised(distinct.where(F.col("qid").isNotNull()).select("qid", "v", "dim"))
-    table = spark.sparkContext.broadcast((blocks, parts))
+    store = materialised(placed.select("cell", F.pmod(order_hash("v", seed="block"), F.col("parts")).cast("int").alias("part"), "key", "v", "ids"))
+    queries = materialised(distinct.where("q").select("key", "v", "dim"))
+    table = spark.sparkContext.broadcast(blocks)
 
     def reach(near: bool):  # noqa: ANN202
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dim, qid = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+                dim = batch.column(2).to_numpy()
                 bound = None if near else batch.column(3).to_numpy(zero_copy_only=False).astype(float)
-                out = []
                 for d in np.unique(dim):
                     at = np.flatnonzero(dim == d)
-                    v = _matrix(batch.column(1).take(pa.array(at))).reshape(len(at), d)
+                    v = _matrix(batch.column(1).take(pa.array(at)), int(d))
                     pivots = sent.value[int(d)]
-                    cell, pivot, lo, hi, n = (np.array(x) for x in zip(*table.value[0][int(d)], strict=True))
+                    cell, pivot, lo, hi, n, parts = (np.array(x) for x in zip(*table.value[int(d)], strict=True))
                     dist = pivots.distances(v, True)[:, pivot]
                     least = np.maximum(np.maximum(lo[None, :] - dist, dist - hi[None, :]), 0.0)
                     order = np.argsort(least, axis=1, kind="stable")
@@ -151,50 +159,59 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
                         radius = np.where(np.isnan(r2), np.inf, np.sqrt(np.maximum(r2, 0.0)))
                         use = ~first & (least <= radius[:, None] * (1 + _SLACK) + _SLACK * (1 + np.sqrt(pivots.longest)))
                     i, j = np.nonzero(use)
-                    out += [(at[a], cell[b], p) for a, b in zip(i, j, strict=True) for p in range(table.value[1][int(cell[b])])]
-                if out:
-                    a, c, p = (np.array(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(qid[a]), batch.column(1).take(pa.array(a))], names=["cell", "part", "qid", "v"])
+                    times = parts[j]
+                    part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    i, j = np.repeat(at[i], times), np.repeat(j, times)
+                    for a in range(0, len(i), _PAIRS_A_BATCH):
+                        b = slice(a, a + _PAIRS_A_BATCH)
+                        take = pa.array(i[b])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[j[b]].astype(np.int32)), pa.array(part[b].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "part", "key", "v"])
 
         return work
 
-    kind = "cell int, part int, qid long, v array<long>"
+    kind, answer = "cell int, part int, key long, v array<long>", pa.schema([("key", pa.int64()), ("id", pa.int64()), ("score", pa.int64()), ("own", pa.bool_())])
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        score = inner(_matrix(right["v"]), _matrix(left["v"]))
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return answer.empty_table()
+        width = len(left["v"][0])
+        score = inner(_matrix(right["v"], width), _matrix(left["v"], width))
         take = min(k + 1, score.shape[1])
         least = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-        ids, out = list(left["ids"]), []
-        for q, s, bar in zip(right["qid"], score, least, strict=True):
-            best = sorted((-int(s[i]), int(x)) for i in np.flatnonzero(s >= bar) for x in ids[i])[: k + 1]
-            out += [(q, x, -y) for y, x in best]
-        return pd.DataFrame(out, columns=["qid", "id", "score"])
+        ids, keys, out = left["ids"].to_pylist(), left["key"].to_numpy(), []
+        for q, s, bar in zip(right["key"].to_pylist(), score, least, strict=True):
+            best = sorted((-int(s[i]), x is None, x or 0, bool(keys[i] == q)) for i in np.flatnonzero(s >= bar) for x in ids[i])[: k + 1]
+            out += [(q, None if none else x, -y, own) for y, none, x, own in best]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), answer, strict=True)], schema=answer)
 
     def visited(wanted: DataFrame) -> DataFrame:
         """The k + 1 best of each query in the blocks it visits."""
         wanted = materialised(wanted)
-        groups = wanted.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
-        groups = materialised(groups)
-        held = store.join(groups, ["cell", "part"]).select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "v", "ids")
+        if stats is not None:
+            stats["visited"] = stats.get("visited", 0) + wanted.count()
+        groups = materialised(wanted.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")))
+        held = store.join(groups, ["cell", "part"]).select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "key", "v", "ids")
         again = groups.toDF("cell", "part", "of")
-        asks = wanted.join(again, ["cell", "part"]).select("cell", "part", F.pmod(order_hash("qid", seed="group"), F.col("of")).cast("int").alias("group"), "qid", "v")
+        asks = wanted.join(again, ["cell", "part"]).select("cell", "part", F.pmod(order_hash("key", seed="group"), F.col("of")).cast("int").alias("group"), "key", "v")
         on = ["cell", "part", "group"]
-        return held.groupBy(*on).cogroup(asks.groupBy(*on)).applyInPandas(search, "qid long, id long, score long")
-
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    near = materialised(visited(queries.select("qid", "v", "dim").mapInArrow(reach(True), kind)))
+        return held.groupBy(*on).cogroup(asks.groupBy(*on)).applyInArrow(search, "key long, id long, score long, own boolean")
+
+    if stats is not None:
+        per_dim = {r[0]: r[1] for r in queries.groupBy("dim").agg(F.count("*")).collect()}
+        stats["pairs"] = sum(per_dim.get(d, 0) * sum(c[-1] for c in cells_of) for d, cells_of in blocks.items())
+    in_order = [F.desc("score"), F.col("id").asc_nulls_last()]
+    best = Window.partitionBy("key").orderBy(*in_order)
+    near = materialised(visited(queries.select("key", "v", "dim").mapInArrow(reach(True), kind)))
     # the score of the k+1-th best so far; none, if there are fewer
-    bar = near.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select("qid", F.col("score").alias("bar"))
-    far = visited(queries.join(bar, "qid", "left").select("qid", "v", "dim", "bar").mapInArrow(reach(False), kind))
+    bar = near.withColumn("at", F.row_number().over(best)).where(F.col("at") == k + 1).select("key", F.col("score").alias("bar"))
+    far = visited(queries.join(bar, "key", "left").select("key", "v", "dim", "bar").mapInArrow(reach(False), kind))
     found = materialised(near.unionByName(far).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at"))
-    # a query among equal ones leaves out itself, not the others
-    named = rows.where("q").select("id", "v").distinct().join(queries.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = named.join(found, "qid").where(F.col("query_id") != F.col("id")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return out.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    # each query leaves out one row of its own id and vector, and is answered as often as it occurs
+    asking = asked.groupBy(F.col("id").alias("query_id"), "v").agg(F.count("*").alias("times")).join(queries.select("v", "key"), "v").drop("v")
+    out = asking.join(found, "key").withColumn("mine", F.col("own") & F.col("id").eqNullSafe(F.col("query_id")))
+    out = out.withColumn("at", F.row_number().over(Window.partitionBy("key", "query_id", "mine").orderBy("score"))).where(~(F.col("mine") & (F.col("at") == 1)))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("key", "query_id").orderBy(*in_order))).where(F.col("rank") <= k)
+    return out.withColumn("time", F.explode(F.expr("sequence(1L, times)"))).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def report(vectors: DataFrame) -> DataFrame:
@@ -204,11 +221,11 @@ def report(vectors: DataFrame) -> DataFrame:
 
 ORACLE_SQL = """
 with e as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+  select row_number() over () row_no, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id query_id, c.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
-  from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
-), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+  select q.row_no, q.vec_id query_id, c.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
+  from e q join e c on q.vec_id % 50 = 0 and q.row_no <> c.row_no and len(q.v) = len(c.v)
+), r as (select *, cast(row_number() over (partition by row_no order by score desc, vec_id nulls last) as integer) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
