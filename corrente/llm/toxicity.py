@@ -2,23 +2,31 @@
 
 Every token gets its log-odds of standing in toxic against clean labelled text,
 with an informative Dirichlet prior (the corpus shares of the token), shrunk to
-its lower confidence limit; a token without evidence costs ``DRIFT``, so that
-chance segments drift down.  A linear-time scan (Ruzzo and Tompa) finds all
-maximal segments of a text.  The extreme-value law of such maxima gives a
-segment of score S in a text of n tokens the expected number K n exp(-lambda S)
-of chance segments as high; lambda solves E[exp(lambda s)] = 1 over clean tokens.
-The log-scores of all significant segments of a text, so normalised, add up to
-its evidence, which a logistic curve fitted on the training labels turns into a
-score from 0 to 1.
+its lower confidence limit.  Only tokens whose log-odds stand ``LEAST_Z``
+standard deviations above 0 count as evidence; every other token, clean ones
+included, costs ``DRIFT``, so that chance segments drift down.  A linear-time
+scan (Ruzzo and Tompa) finds all maximal segments of a text.  The extreme-value
+law of such maxima gives a segment of score S in a text of n tokens the expected
+number K n exp(-lambda S) of chance segments as high; lambda solves
+E[exp(lambda s)] = 1 over clean tokens, and K is the rate of high segments in a
+long sequence of such tokens drawn at random.  The log-scores of all significant
+segments of a text, so normalised, add up to its evidence, which a logistic
+curve fitted on the training labels turns into a score from 0 to 1.
 
 Labels are learned from a sample with a bound (``MAX_LABELLED`` expected rows of
-each label); only its token table, at most ``MAX_TOKENS`` strongest entries,
-reaches the workers.  Scoring reads every whole text.
-
-Nulls: a null or empty text has no tokens, thus no segment and the lowest score.
-A null id counts as the empty text.  Ids with several labels are toxic if any
-is.  Without labels of both kinds every score is 0.  Equal texts get equal
-scores.  Empty tables give empty results.
+each label), of which about one text of each group of near copies counts: texts
+of one label that share the least hash of their three-word shingles in any of
+``_MINHASHES`` orders, those of the least text hash staying.  The model's size is
+a parameter too: its ``MAX_TOKENS`` strongest tokens.  Scoring reads every whole
+text.
+
+Defined results.  Nulls: a null or empty text has no tokens, thus no segment and
+the lowest score.  A null id counts as the empty text.  Ids with several labels
+are toxic if any is.  Without labels of both kinds every score is 0.  Ties:
+segments of equal score all count; equal texts get equal scores, and the same
+rows in other partitions the same model.  A very long text is one sequence, read
+to the end.  Clashing names: kept columns stay, an added column of the same name
+gets an underscore before its name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, id_remainder, materialised
+from .common import added, arrow_limits, id_remainder, materialised, named, order_hash, over_batches
 from .quality import labelled_sample
 from .textscan import WORD, Chunk, chunks, counted, mix64, ngrams, row_of, signed
 
@@ -42,6 +50,8 @@ LEAST_Z = 3.2
 DRIFT, LEAST_SCORE, MAX_TOKEN_SCORE = -0.25, 0.5, 6.0
 THRESHOLD = 0.7
 _STEMS = (4, 6)
+#: Random tokens that K is estimated from, and the highest of their segments that tell it.
+_DRAWN, _HIGHEST = 400_000, 200
 _MINHASHES = 6
 
 
@@ -103,15 +113,18 @@ class Model:
             s = np.maximum(s, self.look(x))
         return np.where(s >= LEAST_SCORE, s, DRIFT)
 
-    def calibrate(self, clean_scores: np.ndarray) -> None:
-        """lambda of the clean tokens, of which one more stands for any kind not seen there."""
-        values, n = np.unique(np.append(clean_scores, MAX_TOKEN_SCORE), return_counts=True)
-        p, lo, hi = n / n.sum(), 1e-6, 50.0
+    def calibrate(self, values: np.ndarray, counts: np.ndarray) -> None:
+        """lambda and K from the scores of clean tokens and their counts; one token more stands for any kind not seen there."""
+        values, p = np.append(values, MAX_TOKEN_SCORE), np.append(counts, 1.0)
+        p = p / p.sum()
+        lo, hi = 1e-6, 50.0
         for _ in range(80):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * values, 700))).sum() < 1 else (lo, mid)
         self.lam = lo
-        self.log_k = float(np.log(max(1 - (p * np.exp(lo * np.minimum(values, 0.0)))[values < 0].sum() / max(p[values < 0].sum(), 1e-9), 1e-6)))
+        found = np.sort(chance_segments(values, p, 1))[::-1]
+        high = found[: max(1, min(_HIGHEST, len(found) // 4))]
+        self.log_k = float(np.log(len(high) / _DRAWN) + lo * high[-1]) if len(high) else float(-np.log(_DRAWN))
 
     def evidence(self, chunk: Chunk, spans: bool = False) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Of each row: the sum over its segments of lambda S - ln(K n), where above 0; and those segments, in tokens."""
@@ -137,6 +150,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
 
 
+def chance_segments(values: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+    """Scores of the maximal segments of ``_DRAWN`` independent tokens."""
+    drawn = np.random.default_rng(seed).choice(values, _DRAWN, p=p)
+    up = np.flatnonzero(drawn > 0)
+    return np.array([x for *_, x in maximal_segments(up.tolist(), drawn[up].tolist(), DRIFT)])
+
+
 def token_table(docs: DataFrame) -> DataFrame:
     """(h, tox, clean, dtox, dclean): occurrences and documents of each token and stem in (text, y)."""
 
@@ -174,9 +194,12 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(signed(x)) for x in least)], names=["text", "y", *names])
 
     out = sample.select("text", "y").mapInArrow(work, "text string, y int, " + ", ".join(f"{n} long" for n in names))
+    out = materialised(out.withColumn("a", order_hash("text", seed="copy")))
+    stay = out.select("a", "y", *names)
     for n in names:
-        out = out.dropDuplicates(["y", n])
-    return materialised(out.select("text", "y"))
+        rest = ["a", *(x for x in names if x != n)]
+        stay = stay.groupBy("y", n).agg(F.min(F.struct(*rest)).alias("first")).select("y", n, "first.*")
+    return materialised(out.join(stay.select("a", "y"), ["a", "y"], "left_semi").dropDuplicates(["a", "y"]).select("text", "y"))
 
 
 def learn(sample: DataFrame) -> Model | None:
@@ -211,8 +234,8 @@ def learn(sample: DataFrame) -> Model | None:
 
     found = sample.mapInArrow(clean_counts, "v double, n long").groupBy("v").agg(F.sum("n")).collect()  # at most 10 x MAX_TOKEN_SCORE values
     values, counts = np.array([r[0] for r in found] or [DRIFT]), np.array([r[1] for r in found] or [1])
-    model.calibrate(np.repeat(values, np.maximum(1, counts * 1_000_000 // max(counts.sum(), 1))))
-    rows = _evidence(sample, model, ("y",)).select("y", "x").collect()  # of the sample
+    model.calibrate(values, counts.astype(float))
+    rows = sorted(map(tuple, _evidence(sample, model, ("y",)).select("y", "x").collect()))  # of the sample
     y, x = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
     model.curve = logistic(np.log1p(x), y)
     return model
@@ -231,34 +254,31 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(t[0]), 1e-6), float(t[1])
 
 
-def _evidence(docs: DataFrame, model: Model, keep: tuple[str, ...], spans: bool = False) -> DataFrame:
-    k, sent = len(keep), docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS entries
-    carried = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:k])
-    schema = f"{kept}, x double" + ", passages array<struct<first: int, after: int, evidence: double>>" * spans
+def _evidence(docs: DataFrame, model: Model, keep: tuple[str, ...], spans: bool = False, text_col: str = "text") -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS entries
     kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("evidence", pa.float64())]))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, where = np.zeros(batch.num_rows), []
-            for chunk in chunks(batch.column(k)):
-                x[chunk.first_row : chunk.first_row + chunk.n_rows], segments = sent.value.evidence(chunk, spans)
-                where += segments
-            more = [pa.array([[dict(zip(("first", "after", "evidence"), s, strict=True)) for s in r] for r in where], kind)] if spans else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(x), *more], names=[*keep, "x", *(["passages"] if spans else [])])
+    def work(texts: pa.Array) -> list[pa.Array]:
+        x, where = np.zeros(len(texts)), []
+        for chunk in chunks(texts):
+            x[chunk.first_row : chunk.first_row + chunk.n_rows], segments = sent.value.evidence(chunk, spans)
+            where += segments
+        return [pa.array(x)] + ([pa.array([[dict(zip(("first", "after", "evidence"), s, strict=True)) for s in r] for r in where], kind)] if spans else [])
 
-    return carried.mapInArrow(work, schema)
+    fields = "x double" + ", passages array<struct<first: int, after: int, evidence: double>>" * spans
+    return over_batches(docs, keep, [named(text_col)], work, fields)
 
 
-def score_toxicity(docs: DataFrame, sample: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, sample: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), spans: bool = False, text_col: str = "text") -> DataFrame:
     """The ``keep`` columns, score and (with ``spans``) the significant passages, as positions of tokens, of every row."""
     arrow_limits(docs.sparkSession)
     model = learn(sample)
+    own, score, passages = [named(c) for c in keep], added(keep, "score"), added(keep, "passages")
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), *([F.array().cast("array<struct<first: int, after: int, evidence: double>>").alias("passages")] if spans else []))
+        return docs.select(*own, F.lit(0.0).alias(score), *([F.array().cast("array<struct<first: int, after: int, evidence: double>>").alias(passages)] if spans else []))
     a, b = model.curve
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), a * F.log1p("x") + b))))
-    return _evidence(docs, model, keep, spans).select(*keep, p.alias("score"), *(["passages"] if spans else []))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), a * F.log1p(named(added(keep, "x"))) + b))))
+    return _evidence(docs, model, keep, spans, text_col).select(*own, p.alias(score), *([named(passages)] if spans else []))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
