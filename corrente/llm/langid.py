@@ -9,15 +9,18 @@ family of its own, so any set of labels works.
 The machines learn from a sample with a bound (``A_LANGUAGE`` expected texts of
 each language, whole); everything else reads all rows.
 
-Nulls: a text that is null or has no letter is ``und`` with score 0; a null id
-counts as the empty text; a null language is not learned from.  Without any
-training row all are ``und``.  Equal texts get equal results.  Empty tables give
-empty results.
+Defined results.  Nulls: a text that is null or has no letter is ``und`` with
+score 0; a null id counts as the empty text; a null language is not learned
+from.  Without any training row all are ``und``.  Ties: of classes with as many
+wins and equal margins the first by name; equal texts get equal results.  A very
+long text is read whole, its trigrams weigh as shares.  Clashing names: kept
+columns stay, an added column of the same name gets an underscore before its
+name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, id_remainder, order_hash
+from .common import added, arrow_limits, id_remainder, materialised, named, order_hash, over_batches
 from .textscan import Chunk, chunks
 
 FEATURES = 4096
@@ -77,31 +80,44 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 15) -> np.nd
     return w
 
 
+def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a trigram's share, so scaled that the median margin is 3; x: shares of the trigrams, a row a text; y: +1 or -1.  The constant is added to each, as the shares of a text add up to 1."""
+    if len(set(y.tolist())) < 2:
+        return np.zeros(x.shape[1]) + 3.0 * (y[0] if len(y) else 0.0)
+    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
+    z = np.column_stack((x * scale, np.ones(len(x))))
+    z /= np.sqrt((z * z).sum(1).mean())
+    w = svm(z, y, c=10.0)
+    row = np.append(w[:-1] * scale, w[-1]) * z[0, -1] * (3.0 / max(float(np.median(np.abs(z @ w))), 1e-9))
+    return row[:-1] + row[-1]
+
+
 class Model:
-    """names: languages in order; machines: (level, class, class) of weights, biases and scales."""
+    """names: languages in order; tasks: (level, class, class) of each machine; w: their weights."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        """x: shares of the trigrams, a row a text."""
-        self.names = sorted(set(langs))
+    def __init__(self, names: list[str]):
+        self.names = sorted(names)
         self.families = sorted({family(n) for n in self.names})
         self.of = [self.families.index(family(n)) for n in self.names]
-        y = np.array([self.names.index(n) for n in langs])
-        scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-        z = np.column_stack((x * scale, np.ones(len(x))))
-        z /= np.sqrt((z * z).sum(1).mean())
-        norm = z[0, -1]
-        fam = np.array(self.of)[y]
         self.tasks = [("family", a, b) for a, b in combinations(range(len(self.families)), 2)]
         self.tasks += [("lang", a, b) for a, b in combinations(range(len(self.names)), 2) if self.of[a] == self.of[b]]
-        rows = []
-        for level, a, b in self.tasks:
-            cls = fam if level == "family" else y
-            use = (cls == a) | (cls == b)
-            w = svm(z[use], np.where(cls[use] == a, 1.0, -1.0), c=10.0)
-            m = np.abs(z[use] @ w)
-            rows.append(np.append(w[:-1] * scale * norm, w[-1] * norm) * (3.0 / max(float(np.median(m)), 1e-9)))
-        # weights of a trigram's share, with the constant added to each: the shares of a text add up to 1
-        self.w = np.array([r[:-1] + r[-1] for r in rows]).reshape(len(rows), x.shape[1]).astype(np.float32)
+        self.w = np.zeros((len(self.tasks), FEATURES), np.float32)
+
+    def side(self, lang: str, task: int) -> int:
+        """+1 or -1 for the class of a language in a machine, 0: not in it."""
+        level, a, b = self.tasks[task]
+        i = self.names.index(lang)
+        cls = self.of[i] if level == "family" else i
+        return (cls == a) - (cls == b)
+
+    def margins(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros((len(self.tasks), len(texts)))
+        for chunk in chunks(texts):
+            code, lo, hi = trigrams(chunk)
+            for t in range(len(self.tasks)):
+                c = np.concatenate(([0.0], np.cumsum(self.w[t][code], dtype=np.float64)))
+                out[t, chunk.first_row : chunk.first_row + chunk.n_rows] = (c[hi] - c[lo]) / np.maximum(hi - lo, 1)
+        return out
 
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and confidence of each row from its margin in each task."""
@@ -130,52 +146,61 @@ class Model:
 
 
 def fit(docs: DataFrame, a_language: int = A_LANGUAGE) -> Model | None:
-    """docs: (text, lang, h) of the training rows, h a hash of the row."""
+    """docs: (text, lang, h) of the training rows, h a hash of the row.  Every machine is fitted by a task of its own, which holds the sampled texts of its two classes; only weights reach the driver."""
     docs = docs.where(F.col("text").rlike("\\p{L}"))
     counts = {r[0]: r[1] for r in docs.groupBy("lang").agg(F.count("*")).collect()}
     if not counts:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, a_language / n))]), F.col("lang"))
-    sample = docs.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
+    sample = docs.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        out = []
+        for chunk in chunks(texts):
+            code, lo, hi = trigrams(chunk)
+            out += [(np.bincount(code[a:b], minlength=FEATURES) / max(1, b - a)).astype(np.float32).tobytes() for a, b in zip(lo, hi, strict=True)]
+        return [pa.array(out, pa.binary())]
+
+    rows = materialised(over_batches(sample, ["lang", "h"], [F.col("text")], work, "x binary"))
+    model = Model(sorted(r[0] for r in rows.select("lang").distinct().collect()))
+    if not model.names:
+        return None
+    # each text goes to the machines of its language, a family's machines taking about a_language texts of the family
+    per_family = Counter(family(n) for n in model.names)
+    tasks = [(n, t, 1 / per_family[family(n)] if level == "family" else 1.0, model.side(n, t)) for n in model.names for t, (level, *_) in enumerate(model.tasks) if model.side(n, t)]
+    wanted = docs.sparkSession.createDataFrame(tasks, "lang string, task int, share double, y int")
+    dealt = rows.join(F.broadcast(wanted), "lang").where(F.pmod(order_hash("h", seed="family"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for chunk in chunks(batch.column(0)):
-                code, lo, hi = trigrams(chunk)
-                out += [(np.bincount(code[a:b], minlength=FEATURES) / max(1, b - a)).astype(np.float32).tobytes() for a, b in zip(lo, hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["lang", "x"])
+    def machine(key: tuple, table: pa.Table) -> pa.Table:
+        some = sorted(zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True))
+        y = np.array([a for a, _ in some], float)
+        x = np.array([np.frombuffer(b, np.float32) for _, b in some], np.float64)
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([fitted(x, y).astype(np.float32).tobytes()], pa.binary())})
 
-    rows = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(work, "lang string, x binary").collect())
-    return Model(np.array([np.frombuffer(x, np.float32) for _, x in rows], np.float64), [lang for lang, _ in rows]) if rows else None
+    done = dealt.select("task", "y", "x").groupBy("task").applyInArrow(machine, "task int, w binary").collect()  # FEATURES numbers a machine
+    for task, w in done:
+        model.w[task] = np.frombuffer(w, np.float32)
+    return model
 
 
 def identify(docs: DataFrame, training: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The ``keep`` columns, lang_pred and score of every row; training: text, lang and h."""
     arrow_limits(docs.sparkSession)
     model = fit(training.where(F.col("lang").isNotNull()))
-    carried = docs.select(*keep, F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("__letter"))
+    text = named(text_col)
     if model is None:
-        return carried.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent, k = docs.sparkSession.sparkContext.broadcast(model), len(keep)  # FEATURES numbers a machine
+        return docs.select(*map(named, keep), F.lit("und").alias(added(keep, "lang_pred")), F.lit(0.0).alias(added(keep, "score")))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers a machine
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: pa.Array, letters: pa.Array) -> list[pa.Array]:
         m = sent.value
-        for batch in batches:
-            margins = np.zeros((len(m.tasks), batch.num_rows))
-            for chunk in chunks(batch.column(k)):
-                code, lo, hi = trigrams(chunk)
-                for t in range(len(m.tasks)):
-                    c = np.concatenate(([0.0], np.cumsum(m.w[t][code], dtype=np.float64)))
-                    margins[t, chunk.first_row : chunk.first_row + chunk.n_rows] = (c[hi] - c[lo]) / np.maximum(hi - lo, 1)
-            letter = batch.column(k + 1).to_numpy(zero_copy_only=False)
-            best, score = m.predict(margins)
-            names = np.array(m.names, object)[best]
-            names[~letter] = "und"
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))], names=[*keep, "lang_pred", "score"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:k])
-    return carried.mapInArrow(work, f"{kept}, lang_pred string, score double")
+        best, score = m.predict(m.margins(texts))
+        letter = letters.to_numpy(zero_copy_only=False)
+        names = np.array(m.names, object)[best]
+        names[~letter] = "und"
+        return [pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))]
+
+    return over_batches(docs, keep, [text, F.coalesce(text.rlike("\\p{L}"), F.lit(False))], work, "lang_pred string, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:

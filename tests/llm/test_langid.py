@@ -41,3 +41,41 @@ def test_machine_separates():
 
 def test_families():
     assert langid.family("de-AT") == "germanic" == langid.family("en") and langid.family("fr") == "romance" and langid.family("xx") == "only xx"
+
+
+def test_votes_are_those_of_a_plain_count():
+    """Fixed weights: margins trigram by trigram, wins and margins counted machine by machine."""
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    model = langid.Model(["de", "en", "es", "fr", "it", "ru"])
+    model.w = rng.normal(size=model.w.shape).astype(np.float32)
+    texts = ["Größe und Klang " * 3, "one two", "été à Paris", "x", "ab", "слова", "A1 b2", None]
+    best, score = model.predict(model.margins(pa.array(texts)))
+    for i, t in enumerate(texts):
+        folded = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in (t or "").encode())
+        grams = [folded[j : j + 3] for j in range(len(folded) - 2)]
+        codes = [((g[0] | g[1] << 8 | g[2] << 16) * 2654435761 % (1 << 32)) >> 20 for g in grams]
+        margin = [sum(float(w[c]) for c in codes) / max(1, len(codes)) for w in model.w]
+
+        def contest(level, classes, margin=margin):
+            rank, sure = {}, {}
+            for c in classes:
+                own = [m if a == c else -m for (kind, a, b), m in zip(model.tasks, margin, strict=True) if kind == level and c in (a, b)]
+                wins = [m >= 0 if a == c else m < 0 for (kind, a, b), m in zip(model.tasks, margin, strict=True) if kind == level and c in (a, b)]
+                rank[c] = sum(wins) + 1e-3 * math.tanh(sum(own) / 10)
+                sure[c] = min([1 / (1 + math.exp(-m)) for m in own], default=1.0)
+            return rank, sure
+
+        rank, sure = contest("family", range(len(model.families)))
+        top = max(rank, key=rank.get)
+        rank2, sure2 = contest("lang", range(len(model.names)))
+        want = max((n for n in rank2 if model.of[n] == top), key=rank2.get)
+        assert best[i] == want and abs(score[i] - sure[top] * sure2[want]) < 1e-6, t
+
+
+def test_own_columns_stay(spark, docs):
+    out = langid.identify(docs, docs.selectExpr("text", "lang", "doc_id h"), keep=("doc_id", "score", "a.b", "lang"))
+    assert out.columns == ["doc_id", "score", "a.b", "lang", "lang_pred", "_score"] and out.count() == docs.count()
