@@ -4,14 +4,23 @@ The rules' regular expressions (bytes; literals, classes, groups, |, ?, *, +,
 {m,n}) become one nondeterministic automaton, then a deterministic one by subset
 construction, then the minimal one by partition refinement; its transitions are
 one array over classes of bytes that no rule tells apart.  One pass over the
-bytes of a batch reads all rules at once.  No rule crosses a line break, so the
-lines of a batch are lanes that advance in step.  A lane in which some rule was
-recognised is resolved to exact spans by that rule's own minimal automaton:
-leftmost, longest, non-overlapping per kind.
+bytes of a batch recognises all rules, as a whole each.  No rule crosses a line
+break, so the lines of a batch are lanes that advance in step.
+
+Only lines in which a rule was recognised are read again, for the exact spans: a
+second combined automaton, of the rules reversed, goes once from the line's end
+to its start and marks where a match of each rule starts; from the leftmost mark
+on, the rule's own automaton takes the longest match.  So spans are leftmost,
+longest and non-overlapping per kind, and a start that leads to no match costs
+nothing: the time is linear in the line for rules, such as these, that no byte
+beyond a match keeps alive.
 
 Spans count code points, end exclusive.  Rules beyond the three base ones only
-add spans.  Nulls: a null text is empty; ids may be null or repeat, every row is
-scanned by itself.  Empty tables give empty results.
+add spans.  Defined results.  Nulls: a null text is empty; ids may be null or
+repeat, every row is scanned by itself.  Ties: spans that start together are
+ordered by kind as listed.  Very long texts and lines are read to the end.
+Clashing names: kept columns stay, an added column of the same name gets an
+underscore before its name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,25 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, named, over_batches
 from .textscan import Chunk, chunks
 
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _ANYCASE = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _HEAD = "(" + "|".join(map(_ANYCASE, ("password", "passwd", "secret", "token"))) + "|" + _ANYCASE("api") + "_?" + _ANYCASE("key") + ")"
 
-#: kind, what the combined automaton recognises, what a span is, least length of a span, least length of its value.
-#: The first must occur in every line that holds the second; it is shorter where counting to the end would only multiply states.
+#: kind, pattern, least length of a match, least length of its value; matches that are shorter are dropped.
 RULES = (
-    ("assign", _HEAD + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=\\-]{8}", _HEAD + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=\\-]+", 0, 8),
-    ("access", "AKIA[A-Z0-9]{12}", "AKIA[A-Z0-9]+", 16, 0),
-    ("hex", "[0-9a-f]{32}", "[0-9a-f]+", 32, 0),
-    ("github", "gh[pousr]_[A-Za-z0-9]{6}", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    ("slack", "xox[abprs]\\-[0-9A-Za-z\\-]{4}", "xox[abprs]\\-[0-9A-Za-z\\-]{10,}", 0, 0),
-    ("google", "AIza[0-9A-Za-z_\\-]{4}", "AIza[0-9A-Za-z_\\-]{35}", 0, 0),
-    ("stripe", "[sr]k_live_", "[sr]k_live_[0-9A-Za-z]{16,}", 0, 0),
-    ("jwt", "eyJ[0-9A-Za-z_\\-]{5}", "eyJ[0-9A-Za-z_\\-]{8,}\\.[0-9A-Za-z_\\-]{8,}\\.[0-9A-Za-z_\\-]{8,}", 0, 0),
-    ("private_key", "\\-\\-\\-\\-\\-BEGIN ", "\\-\\-\\-\\-\\-BEGIN [A-Z ]*PRIVATE KEY\\-\\-\\-\\-\\-", 0, 0),
+    ("assign", _HEAD + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=\\-]+", 0, 8),
+    ("access", "AKIA[A-Z0-9]+", 16, 0),
+    ("hex", "[0-9a-f]{32,}", 32, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 40, 0),
+    ("slack", "xox[abprs]\\-[0-9A-Za-z\\-]+", 15, 0),
+    ("google", "AIza[0-9A-Za-z_\\-]+", 39, 0),
+    ("stripe", "[sr]k_live_[0-9A-Za-z]+", 24, 0),
+    ("jwt", "eyJ[0-9A-Za-z_\\-]+\\.[0-9A-Za-z_\\-]+\\.[0-9A-Za-z_\\-]+", 36, 0),
+    ("private_key", "\\-\\-\\-\\-\\-BEGIN [A-Z ]*PRIVATE KEY\\-\\-\\-\\-\\-", 0, 0),
 )
 BASE = 3
 
@@ -171,16 +179,34 @@ class _Nfa:
         return a, b
 
 
+def _reversed(nfa: _Nfa) -> _Nfa:
+    """All arrows turned round."""
+    back = _Nfa()
+    back.eps, back.move = [[] for _ in nfa.eps], [None] * len(nfa.move)
+    for a, to in enumerate(nfa.eps):
+        for b in to:
+            back.eps[b].append(a)
+    for a, m in enumerate(nfa.move):
+        if m:
+            # a state has one move, so one of its own takes each
+            x = back.state()
+            back.eps[m[1]].append(x)
+            back.move[x] = (m[0], a)
+    return back
+
+
 class Dfa:
     """Minimal automaton.  state' = step[state * n_classes + byte_class[byte]]; start is 0; marks[state]: bits of the rules recognised there; dead: a state that none leaves, or -1."""
 
-    def __init__(self, patterns: list[str], search: bool):
+    def __init__(self, patterns: list[str], search: bool, backward: bool = False):
         nfa, ends = _Nfa(), {}
         roots = []
         for k, p in enumerate(patterns):
             a, b = nfa.add(p)
+            a, b = (b, a) if backward else (a, b)
             roots.append(a)
             ends[b] = 1 << k
+        nfa = _reversed(nfa) if backward else nfa
         sets = list({m[0] for m in nfa.move if m})
         kinds: dict[tuple[bool, ...], int] = {}
         self.byte_class = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint8)
@@ -188,35 +214,41 @@ class Dfa:
         n_classes = self.n_classes = len(kinds)
 
         @functools.cache
-        def reach(x: int) -> frozenset[int]:
+        def reach(x: int) -> int:
+            """The states that x leads to without a byte and that matter, a bit each."""
             seen, todo = {x}, [x]
             while todo:
                 for y in nfa.eps[todo.pop()]:
                     if y not in seen:
                         seen.add(y)
                         todo.append(y)
-            return frozenset(y for y in seen if nfa.move[y] or y in ends)
+            return sum(1 << y for y in seen if nfa.move[y] or y in ends)
 
-        start = frozenset().union(*map(reach, roots))
+        moves = {y: ([c for c, b in sample.items() if b in m[0]], reach(m[1])) for y, m in enumerate(nfa.move) if m}
+        start = functools.reduce(int.__or__, map(reach, roots))
         found, todo, step, marks = {start: 0}, [start], [], []
-        while todo:
-            now = todo.pop(0)
-            marks.append(sum({ends[y] for y in now if y in ends}))
-            row = []
-            for c in range(n_classes):
-                to = frozenset().union(*(reach(nfa.move[y][1]) for y in now if nfa.move[y] and sample[c] in nfa.move[y][0]))
-                if search:
-                    to |= start
+        for now in todo:
+            mark, row = 0, [start if search else 0] * n_classes
+            while now:
+                y = (now & -now).bit_length() - 1
+                now &= now - 1
+                mark |= ends.get(y, 0)
+                if y in moves:
+                    for c in moves[y][0]:
+                        row[c] |= moves[y][1]
+            marks.append(mark)
+            for to in row:
                 if to not in found:
                     found[to] = len(found)
                     todo.append(to)
-                row.append(found[to])
-            step.append(row)
+            step.append([found[to] for to in row])
         t, m = np.array(step), np.array(marks)
         # partition refinement: states of a block agree in marks and in the blocks that they step to
         block = np.unique(m, return_inverse=True)[1]
         while True:
-            finer = np.unique(np.column_stack((block, block[t])), axis=0, return_inverse=True)[1].ravel()
+            finer = block
+            for c in range(n_classes):
+                finer = np.unique(finer * len(t) + block[t[:, c]], return_inverse=True)[1]
             if finer.max() == block.max():
                 break
             block = finer
@@ -234,45 +266,55 @@ class Dfa:
         stuck = [s for s in range(self.n_states) if not self.marks[s] and (self.step[s] == s).all()]
         self.dead = stuck[0] if stuck and not search else -1
         self.flat = (self.step * n_classes).astype(np.int32).ravel()
-        self.begins = (self.step[0] != self.dead)[self.byte_class]
 
     @functools.cached_property
     def flat_list(self) -> list[int]:
         return self.flat.tolist()
 
-    def spans(self, data: bytes) -> Iterator[tuple[int, int]]:
-        """Leftmost longest non-overlapping matches; the automaton must not be a searching one."""
-        classes, step, k = self.byte_class[np.frombuffer(data, np.uint8)].tolist(), self.flat_list, self.n_classes
-        marks, dead = self.marks.tolist(), self.dead * self.n_classes
-        starts = np.flatnonzero(self.begins[np.frombuffer(data, np.uint8)]).tolist()
-        done, n = 0, len(data)
-        for a in starts:
-            if a < done:
-                continue
-            s, end, i = 0, 0, a
-            while i < n:
-                s = step[s + classes[i]]
-                i += 1
-                if s == dead:
-                    break
-                if marks[s // k]:
-                    end = i
-            if end:
-                yield a, end
-                done = end
-
-
-_built: list[tuple[Dfa, list[Dfa]]] = []
-
-
-def automata() -> tuple[Dfa, list[Dfa]]:
-    """The combined automaton and each rule's own, built once in a process."""
+    def longest(self, data: bytes, start: int) -> int:
+        """The end of the longest match from a start, 0 if there is none; the automaton must not be a searching one."""
+        classes, step, k, dead = self.class_list, self.flat_list, self.n_classes, self.dead * self.n_classes
+        marks, s, end = self.mark_list, 0, 0
+        for i in range(start, len(data)):
+            s = step[s + classes[data[i]]]
+            if s == dead:
+                break
+            if marks[s // k]:
+                end = i + 1
+        return end
+
+    @functools.cached_property
+    def class_list(self) -> list[int]:
+        return self.byte_class.tolist()
+
+    @functools.cached_property
+    def mark_list(self) -> list[int]:
+        return self.marks.tolist()
+
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bits of the rules that match from there on), from the left; the automaton must be a searching one of the rules reversed."""
+        classes, step, k = self.class_list, self.flat_list, self.n_classes
+        marks, s, loud, out = self.mark_list, 0, self.quiet * self.n_classes, []
+        for i in range(len(data) - 1, -1, -1):
+            s = step[s + classes[data[i]]]
+            if s >= loud:
+                out.append((i, marks[s // k]))
+        return out[::-1]
+
+
+Automata = tuple[Dfa, Dfa, list[Dfa]]
+_built: list[Automata] = []
+
+
+def automata() -> Automata:
+    """The combined automaton, that of the reversed rules and each rule's own, built once in a process."""
     if not _built:
-        _built.append((Dfa([r[1] for r in RULES], search=True), [Dfa([r[2]], search=False) for r in RULES]))
+        rules = [r[1] for r in RULES]
+        _built.append((Dfa(rules, search=True), Dfa(rules, search=True, backward=True), [Dfa([r], search=False) for r in rules]))
     return _built[0]
 
 
-def _install(tables: tuple[Dfa, list[Dfa]]) -> None:
+def _install(tables: Automata) -> None:
     if not _built:
         _built.append(tables)
 
@@ -326,25 +368,36 @@ def recognised(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[at], start[at] + length[at], bits[at]
 
 
+def spans(line: bytes, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, rule) of the matches of the rules in bits that are long enough, in bytes."""
+    _, back, own = automata()
+    done = [0] * len(RULES)
+    for a, some in back.starts(line):
+        some &= bits
+        while some:
+            k = (some & -some).bit_length() - 1
+            some &= some - 1
+            if a >= done[k]:
+                done[k] = b = own[k].longest(line, a)
+                _, _, least, value = RULES[k]
+                if b - a >= least and (not value or _value_length(line[a:b]) >= value):
+                    yield a, b, k
+
+
 def find(texts: pa.Array) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """(row, [(start, end, rule)]) of the rows with spans, in code points, by start and rule."""
     out: dict[int, list[tuple[int, int, int]]] = {}
-    exact = automata()[1]
     for chunk in chunks(texts, 4 << 20):
         if not len(chunk.buf):
             continue
         points = None
         for a, b, bits in zip(*(x.tolist() for x in recognised(chunk)), strict=True):
-            line = chunk.buf[a:b].tobytes()
             row = int(np.searchsorted(chunk.offsets, a, "right")) - 1
-            for k, (_, _, _, least, value) in enumerate(RULES):
-                if bits >> k & 1:
-                    for i, j in exact[k].spans(line):
-                        if j - i >= least and (not value or _value_length(line[i:j]) >= value):
-                            if points is None:
-                                points = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))
-                            zero = points[chunk.offsets[row]]
-                            out.setdefault(chunk.first_row + row, []).append((int(points[a + i] - zero), int(points[a + j] - zero), k))
+            for i, j, k in spans(chunk.buf[a:b].tobytes(), bits):
+                if points is None:
+                    points = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))
+                zero = points[chunk.offsets[row]]
+                out.setdefault(chunk.first_row + row, []).append((int(points[a + i] - zero), int(points[a + j] - zero), k))
     return [(row, sorted(v, key=lambda x: (x[0], x[2], x[1]))) for row, v in sorted(out.items())]
 
 
@@ -352,31 +405,26 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{RULES[k][0]}:{a}:{b}" for a, b, k in spans)
 
 
-_SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, counts of the base kinds, digest of the base spans and all spans of every row."""
     arrow_limits(docs.sparkSession)
-    carried = docs.select(*keep, F.col(text_col).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(automata())  # about 1 MB, whatever the input
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: pa.Array) -> list[pa.Array]:
         _install(sent.value)
-        for batch in batches:
-            n = batch.num_rows
-            counts = np.zeros((BASE, n), np.int64)
-            digest, spans = [_NOTHING] * n, [""] * n
-            for row, found in find(batch.column(len(keep))):
-                for _, _, k in found:
-                    if k < BASE:
-                        counts[k, row] += 1
-                digest[row], spans[row] = hashlib.sha256(joined([x for x in found if x[2] < BASE]).encode()).hexdigest(), joined(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
-    return carried.mapInArrow(work, f"{kept}, {_SCHEMA}")
+        counts = np.zeros((BASE, len(texts)), np.int64)
+        digest, told = [_NOTHING] * len(texts), [""] * len(texts)
+        for row, found in find(texts):
+            for _, _, k in found:
+                if k < BASE:
+                    counts[k, row] += 1
+            digest[row], told[row] = hashlib.sha256(joined([x for x in found if x[2] < BASE]).encode()).hexdigest(), joined(found)
+        return [*map(pa.array, counts), pa.array(digest, pa.string()), pa.array(told, pa.string())]
+
+    return over_batches(docs, keep, [named(text_col)], work, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]+"),
 }
-MORE = {r[0]: re.compile(r[2].replace("\\-", "-") if "[" not in r[2] else r[2]) for r in secrets.RULES[secrets.BASE :]}
+MORE = {r[0]: (re.compile(r[1]), r[2]) for r in secrets.RULES[secrets.BASE :]}
 
 
 def base(text):
@@ -38,21 +38,22 @@ def test_spans_are_those_of_regular_expressions():
     for i, t in enumerate(texts):
         got = [(secrets.RULES[k][0], a, b) for a, b, k in found.get(i, [])]
         assert [x for x in got if x[0] in PATTERNS] == base(t), repr(t)
-        for kind, p in MORE.items():
-            assert [x[1:] for x in got if x[0] == kind] == [m.span() for m in p.finditer(t or "")], (kind, t)
+        for kind, (p, least) in MORE.items():
+            assert [x[1:] for x in got if x[0] == kind] == [m.span() for m in p.finditer(t or "") if m.end() - m.start() >= least], (kind, t)
 
 
 @pytest.mark.parametrize("pattern", ["a(b|cd)*e?", "[a-c]{2,4}d", "(ab|a)(c|bcd)", "x+y?z{3}", "a{0,2}b"])
 def test_automata_agree_with_the_library(pattern):
-    """Longest match from the start, over all strings of a small alphabet."""
+    """Longest match from the start, and all starts of matches, over all strings of a small alphabet."""
     import itertools
 
-    dfa = secrets.Dfa([pattern], search=False)
+    dfa, back = secrets.Dfa([pattern], search=False), secrets.Dfa([pattern], search=True, backward=True)
     p = re.compile(pattern)
     for s in map("".join, itertools.chain.from_iterable(itertools.product("abcdexyz", repeat=n) for n in range(5))):
         longest = max((n for n in range(1, len(s) + 1) if p.fullmatch(s[:n])), default=0)
-        first = next(iter(dfa.spans(s.encode())), None)
-        assert (first[1] if first and first[0] == 0 else 0) == longest, s
+        assert dfa.longest(s.encode(), 0) == longest, s
+        starts = [i for i in range(len(s)) if any(p.fullmatch(s[i:j]) for j in range(i + 1, len(s) + 1))]
+        assert [i for i, _ in back.starts(s.encode())] == starts, s
 
 
 def test_automaton_is_minimal():
@@ -60,6 +61,27 @@ def test_automaton_is_minimal():
     assert dfa.n_states == 5  # four, and the dead one for all other bytes
 
 
+def test_time_is_linear_in_lines_that_nearly_match():
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        lines = ["eyJ" * n + ".a", "eyJa." * n, "xoxb-" * n, "password" * n, "secret" + " " * n, "-----BEGIN " * n, "AIza" * n, "ghp_" * n]
+        t = time.perf_counter()
+        secrets.find(pa.array(lines))
+        return time.perf_counter() - t
+
+    seconds(10)
+    a, b = min(seconds(20_000) for _ in range(2)), seconds(160_000)
+    assert b < 20 * a, (a, b)  # 8 times the text
+
+
+def test_own_columns_stay(docs):
+    out = secrets.scan_secrets(docs, keep=("doc_id", "a.b", "digest"))
+    assert out.columns[:3] == ["doc_id", "a.b", "digest"] and out.count() == docs.count()
+
+
 def test_report(spark, docs, texts, none):
     key = "AKIA" + "Q7" * 8
     rows = [(1, f"é {key} and api_key: 'abcdefgh1'"), (1, f"é {key} and api_key: 'abcdefgh1'"), (None, None), (3, "")]
