@@ -1,26 +1,30 @@
 """Quality classifier by importance resampling.
 
 Two bag-of-n-grams generative models over hashed unigrams and bigrams: one of
-the target (documents labelled good), one of the raw corpus (all documents).  A
-document's log importance weight is the mean over its n-grams of log target -
-log raw, read as that of a text of ``SCALE`` n-grams, times the evidence that a
-document of its length can give (a count that saturates, so that length alone
-neither saves nor condemns).  Besides words, n-grams of token shapes (case,
-punctuation, repetition of the token before) are hashed too.  The documents kept
-are the k largest perturbed weights, weight + Gumbel noise: a sample without
-replacement in proportion to the importance weights (Gumbel top-k).  k is the
-number of documents whose unperturbed weight passes the threshold that best
-separates the labelled rows.
+the target (documents labelled good), one of the raw corpus (all documents).
+Besides words, n-grams of token shapes (case, punctuation, repetition of the
+token before) are hashed too.  A document's weight is its log importance weight,
+the sum over its n-grams of log target - log raw, divided by ``TEMPERATURE``
+(neighbouring n-grams are far from independent, so the plain sum would be too
+sure of itself).  The documents kept are the k of the largest perturbed weights,
+weight + Gumbel noise: a sample without replacement in proportion to
+exp(weight).  k is ``rate`` times the documents that have words; without a rate
+it is the share of good ones among the labelled rows, taken as a sample of the
+corpus.  So a document far from the cut is safe or lost, one near it is drawn.
 
 The labelled rows come from a sample with a bound (``MAX_LABELLED`` expected of
-each label); counts of the raw model cover all documents.  The k-th largest is
-found exactly by narrowing histograms, without sorting or collecting rows.
-
-Nulls: a null or empty text has no n-grams and is rejected.  Documents without
-a label, with several (any 0 wins), or with a null id only count as raw.  Ties
-at the k-th place are all kept, so equal rows share their fate.  Without labels
-of both kinds everything that has words is kept.  Empty tables give empty
-results.
+each label), and those for which ``held_out`` is true are never learned from;
+counts of the raw model cover all documents.  The k-th largest is found exactly
+by narrowing histograms, without sorting or collecting rows.
+
+Defined results.  Nulls: a null or empty text has no n-grams and is rejected.
+Documents without a label, with several (any 0 wins), or with a null id only
+count as raw.  Ties at the k-th place are all kept, and the noise follows from
+the id and the text, so equal rows share their fate and reruns agree.  A very
+long text is one document, read whole; its weight grows with its length.
+Without labels of both kinds everything that has words is kept.  Clashing names:
+own columns stay, an added column of the same name gets an underscore before its
+name.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,17 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, materialised, order_hash, unused
+from .common import added, arrow_limits, materialised, named, order_hash, over_batches, row_key, without
 from .textscan import NONBLANK, WORD, Chunk, chunks, mix64, ngrams, row_of
 
 WORD_BUCKETS, SHAPE_BUCKETS = 8192, 2048
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 MAX_LABELLED = 10_000
-#: Scale of the weights; n-grams after which a document's evidence saturates.
-SCALE, SATURATED = 1500.0, 60.0
+#: What the log importance weights are divided by, and of how many labelled rows one is held out.
+TEMPERATURE, HOLD_OUT = 20.0, 4
 _MARK = NONBLANK & ~WORD
 _EDGES = 1024
 
@@ -77,6 +81,11 @@ def labelled_sample(labels: DataFrame, column: str, bound: int = MAX_LABELLED) -
     return one.where(F.pmod(order_hash("doc_id", seed="labelled " + column), F.lit(1 << 30)) < share * (1 << 30))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Labelled rows that are not learned from, to measure on."""
+    return F.pmod(order_hash(doc_id, seed="held out of quality"), F.lit(HOLD_OUT)) == 0
+
+
 def fit(docs: DataFrame, sample: DataFrame, text_col: str, id_col: str) -> np.ndarray:
     """log target - log raw of every bucket."""
 
@@ -91,7 +100,7 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str, id_col: str) -> np.nd
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["b", "raw", "target"])
 
-    marked = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).join(F.broadcast(sample), "doc_id", "left").select("text", "y")
+    marked = docs.select(named(text_col).alias("text"), named(id_col).alias("doc_id")).join(F.broadcast(sample), "doc_id", "left").select("text", "y")
     rows = marked.mapInArrow(work, "b long, raw long, target long").groupBy("b").agg(F.sum("raw"), F.sum("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for b, x, y in rows:
@@ -100,43 +109,27 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str, id_col: str) -> np.nd
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str) -> DataFrame:
-    """All columns of the documents, and ``weight`` (null without n-grams)."""
+def weighed(docs: DataFrame, ratio: np.ndarray, text: Column, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns and ``weight`` (null without n-grams) of every document."""
     arrow_limits(docs.sparkSession)
-    columns, text_at = docs.columns, docs.columns.index(text_col)
-    weight = unused(docs, "weight")
     model = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for chunk in chunks(batch.column(text_at)):
-                b, r = buckets(chunk)
-                at = slice(chunk.first_row, chunk.first_row + chunk.n_rows)
-                total[at] = np.bincount(r, model.value[b], chunk.n_rows)
-                count[at] = np.bincount(r, minlength=chunk.n_rows)
-            w = SCALE * total / np.maximum(count, 1) * np.sqrt(np.minimum(count, SATURATED) / SATURATED)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, mask=count == 0)], names=[*columns, weight])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{kept}, `{weight}` double")
-
-
-def threshold(w: np.ndarray, y: np.ndarray) -> float:
-    """The weight that best separates the labels: highest mean of the shares of good rows kept and bad rows rejected."""
-    if not ((y == 1).any() and (y == 0).any()):
-        return -np.inf
-    order = np.argsort(w)
-    w, y = w[order], y[order]
-    bad, good = np.cumsum(y == 0) / (y == 0).sum(), 1 - np.cumsum(y == 1) / (y == 1).sum()
-    gain = np.concatenate(([1.0], bad + good))
-    last = np.concatenate((w[1:] > w[:-1], [True]))
-    gain[1:][~last] = -1
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    i = int(best[len(best) // 2])  # rows below the cut
-    if i == 0:
-        return float(w[0] - 1)
-    return float((w[i - 1] + w[i]) / 2) if i < len(w) else float(w[-1] + 1)
+    def work(texts: pa.Array) -> list[pa.Array]:
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for chunk in chunks(texts):
+            b, r = buckets(chunk)
+            at = slice(chunk.first_row, chunk.first_row + chunk.n_rows)
+            total[at] = np.bincount(r, model.value[b], chunk.n_rows)
+            count[at] = np.bincount(r, minlength=chunk.n_rows)
+        return [pa.array(total / TEMPERATURE, mask=count == 0)]
+
+    return over_batches(docs, keep, [text], work, "weight double")
+
+
+def with_gumbel(weight: Column, h: Column) -> Column:
+    """A weight and the Gumbel noise of a hash: the k largest are a sample without replacement in proportion to exp(weight)."""
+    u = (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return weight - F.log(-F.log(u))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -162,24 +155,40 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
-    """The chosen columns (all, if not given) of every document with weight, perturbed and kept."""
+def classify(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", columns: list[str] | None = None, rate: float | None = None, seed: int = 0) -> DataFrame:
+    """The chosen columns (all, if not given) of every document with weight, perturbed and kept.  rate: the share of documents to keep; seed: of the noise."""
     arrow_limits(docs.sparkSession)
-    sample = materialised(labelled_sample(labels, "quality"))
+    sample = materialised(labelled_sample(labels, "quality").where(~held_out(F.col("doc_id"))))
     ratio = fit(docs, sample, text_col, id_col)
-    row = unused(docs, "row")
-    packed = docs.select(F.struct(*(columns or docs.columns)).alias(row), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), order_hash(F.col(id_col), F.xxhash64(text_col), seed="gumbel").alias("h"))
-    slim = columns is not None and text_col not in columns
-    weights = weighed(packed, ratio, "text")
-    weights = materialised((weights.drop("text") if slim else weights).drop(*([] if slim else ["text"])))
-    known = weights.join(F.broadcast(sample), "doc_id").select("weight", "y").where("weight is not null").collect()
-    cut = threshold(np.array([r[0] for r in known]), np.array([r[1] for r in known]))
-    u = (F.pmod(F.col("h"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    noisy = weights.withColumn("perturbed", F.col("weight") - F.log(-F.log(u)))
-    k = weights.where(F.col("weight") >= (cut if np.isfinite(cut) else -1e300)).count()
-    least = kth_largest(noisy, "perturbed", k)
-    kept = F.coalesce(F.col("perturbed") >= (least if least is not None else float("inf")), F.lit(False))
-    return noisy.select(*[F.col(f"{row}.`{c}`").alias(c) for c in (columns or docs.columns)], "weight", "perturbed", kept.alias("kept"))
+    columns = docs.columns if columns is None else columns
+    names = [f"c{i}" for i in range(len(columns))]
+    a, b = row_key(named(id_col), named(text_col))
+    slim = docs.select(*[named(c).alias(n) for c, n in zip(columns, names, strict=True)], named(text_col).alias("text"), a.alias("a"), b.alias("b"))
+    weights = materialised(weighed(slim, ratio, F.col("text"), [*names, "a", "b"]))
+    sizes = {r[0]: r[1] for r in sample.groupBy("y").agg(F.count("*")).collect()}
+    if rate is None:
+        # of a sample with a bound for each label, the shares before the bound
+        rate = good_share(labels) if sizes.get(0) and sizes.get(1) else 1.0
+    n = weights.where("weight is not null").count()
+    noisy = weights.withColumn("perturbed", with_gumbel(F.col("weight"), order_hash("a", "b", seed=f"gumbel {seed}")))
+    k = round(rate * n)
+    least = kth_largest(noisy, "perturbed", k) if k else float("inf")
+    kept = F.coalesce(F.col("perturbed") >= (least if least is not None else float("-inf")), F.lit(False))
+    return noisy.select(*[F.col(x).alias(c) for x, c in zip(names, columns, strict=True)], *[c.alias(added(columns, x)) for x, c in (("weight", F.col("weight")), ("perturbed", F.col("perturbed")), ("kept", kept))])
+
+
+def good_share(labels: DataFrame) -> float:
+    """The share of good documents among those with a label that may be learned from."""
+    one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y")).where(~held_out(F.col("doc_id")))
+    return one.agg(F.avg("y")).first()[0] or 0.0
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The documents that are kept, with their columns.  Only keys of the rejected travel."""
+    a, b = row_key(named(id_col), named(text_col))
+    slim = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), a.alias("a"), b.alias("b"))
+    out = classify(slim, labels, columns=["a", "b"], **options)
+    return without(docs, out.where(~F.col("kept")).select("a", "b"), [a, b])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
