@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
@@ -117,3 +118,9 @@ def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column],
 
     out = slim.mapInArrow(run, StructType([*slim.schema.fields[:k], *more]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=False)], *[F.col(f.name).alias(added(keep, f.name)) for f in more])
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone: its cleaner waits for a garbage collection of the driver, which an idle heap puts off while disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

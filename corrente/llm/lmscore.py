@@ -3,25 +3,34 @@
 The filter holds unigrams and bigrams of the training documents with their
 counts on a log scale: an n-gram of count c is entered at levels 1 to
 1 + floor(log2 c), and a probe asks level after level until one is missing.
-Every shard of n-grams has its own stretch of 64-bit words in the filter; the
-bits of an n-gram at a level lie in one word.  The filter is broadcast; its size
-follows the number of n-grams up to ``MAX_FILTER_BYTES``.  Beyond that it holds
-those of the larger counts (the least count entered is the lowest for which the
-filter keeps its error rate), and what a text has and the filter has not is
-looked up in the n-grams themselves: its keys go to their shards, a batch of
-texts at a time, and the levels come back.  Bigram and unigram estimates are
-interpolated with weights by the history's count, estimated by EM with
-leave-one-out counts.
+n-grams are dealt out to shards by their hashes; every shard is a stretch of
+64-bit words of the filter, in which the bits of an n-gram at a level share one
+word.  The filter's size follows the number of n-grams without a bound.  Up to
+``MAX_FILTER_BYTES`` it is broadcast whole to the workers.  A larger one cannot
+be, so the probes travel: the distinct n-grams of a batch of texts go to their
+shards, and their levels come back to the texts.  The bits and the answers are
+the same either way.
+
+All counts of the score come from the filter.  A token's probability is the
+bigram estimate after absolute discounting, (c(h, w) - D) / c(h), and the mass
+so taken from histories of h's level times the unigram estimate,
+(c(w) + 1) / (N + V + 1).  D for count 1 and for more follows from the numbers of
+bigrams of count 1, 2 and 3.  So the score depends on how many tokens of a text
+have each combination of levels (of the word, its history and the pair); texts
+are read once for these numbers, and the scores follow from them.
 
 The base score needs exact counts: the ``HEAD`` most frequent tokens are
 broadcast, all others are joined by hash.
 
-n-grams travel as sorted blocks of 40-bit keys, a row a batch and shard, and
-shards grow in number with the input, so no shard outgrows a task.
+n-grams travel as blocks of 32-bit keys, a row a batch and shard, and shards grow
+in number with the input, so no shard outgrows a task.  Two n-grams of a shard
+share a key with a probability far below the filter's own error rate.
 
-Nulls: a null text is empty and has the end token alone; a null id counts as the
-empty text.  Equal rows are scored alike.  An empty table gives an empty result;
-without training rows every token is unknown.
+Defined results.  Nulls: a null text is empty and has the end token alone; a null
+id counts as the empty text.  Ties do not arise: every row is scored by itself,
+equal rows alike.  A very long text is one row of a batch, read whole.  Clashing
+names: only id and text are read, other columns are ignored.  An empty table
+gives an empty result; without training rows every token is unknown.
 """
 
 from __future__ import annotations
@@ -34,16 +43,20 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, id_remainder, materialised
+from .common import arrow_limits, freed, id_remainder, materialised
 from .textscan import NONBLANK, Chunk, chunks, mix64, row_of, signed
 
 HEAD = 1 << 18
-MAX_FILTER_BYTES = 96 << 20
-FIRST_BITS, MORE_BITS = 6, 4
-WORDS_A_KEY = 10 / 64  # 10 bits an entry at any level
-SHARDS_A_PARTITION = 4
+MAX_FILTER_BYTES = 8 << 20
+FIRST_BITS, MORE_BITS = 7, 4
+WORDS_A_KEY = 14 / 64  # 14 bits an entry at any level
+SHARDS_A_PARTITION = 2
+#: Bytes of text whose n-grams travel together.
+BATCH_BYTES = 2 << 20
+_LEVELS = 34
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNIGRAM = np.uint64(0x1F83D9ABFB41BD6B)
+_LAST = np.uint64(1)
 
 
 def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -55,23 +68,19 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(chunk.n_rows + 1)
 
 
-def pairs(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each token with the one before it, and that one; an end stands before the first."""
+def pairs(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Key of each token with the one before it; an end stands before the first."""
     before = np.empty_like(h)
     if len(h):
         before[1:] = h[:-1]
         before[off[:-1]] = _END
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + h), before
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
     return mix64(h ^ _UNIGRAM)
 
 
-def _rows_of(h: np.ndarray, off: np.ndarray, use: np.ndarray) -> np.ndarray:
-    return np.repeat(use, np.diff(off))
-
-
 def _training(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("held_out")).select("text")
 
@@ -89,96 +98,96 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return _training(docs).mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _packed(keys: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard of each sorted key, and 40 bits of it in two parts."""
+def located(words: np.ndarray, pair: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and 32-bit key of words, then of pairs; the last bit of a key tells them apart."""
+    keys = np.concatenate((unigram_keys(words), pair))
     shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
-    rest = (keys << np.uint64(shard_bits)) >> np.uint64(24)
-    return shard, (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
-
-
-def _unpacked(lo: bytes, hi: bytes) -> np.ndarray:
-    return np.frombuffer(hi, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(lo, np.uint32)
+    rest = ((keys << np.uint64(shard_bits)) >> np.uint64(32)) & ~_LAST
+    rest[len(words) :] |= _LAST
+    return shard, rest.astype(np.uint32)
 
 
 def _blocks(shard: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Each shard and, for every column, its part as bytes."""
+    """Each shard and, for every column, its part as bytes; shards ascending."""
     ids, first = np.unique(shard, return_index=True)
     cut = np.append(first, len(shard))
     return ids.astype(np.int32), [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
 
 
-def ngram_counts(docs: DataFrame, shard_bits: int) -> DataFrame:
-    """(shard, lo, hi, n): the distinct keys of each shard and their counts, as blocks."""
+def filter_shards(docs: DataFrame, shard_bits: int) -> DataFrame:
+    """(shard, words, ones, twos, threes): the filter's stretch of each shard, and how many of its pairs occur once, twice and three times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = []
+            words, pair = [], []
             for c in chunks(batch.column(0)):
                 h, off = tokens(c)
-                every += [pairs(h, off)[0], unigram_keys(h)]
-            if not every:
+                words.append(h)
+                pair.append(pairs(h, off))
+            if not words:
                 continue
-            keys, n = np.unique(np.concatenate(every), return_counts=True)
-            ids, blobs = _blocks(*_packed(keys, shard_bits), n.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "lo", "hi", "n"])
+            (words, nw), (pair, np_) = (np.unique(np.concatenate(x), return_counts=True) for x in (words, pair))
+            shard, rest = located(words, pair, shard_bits)
+            order = np.argsort(shard, kind="stable")
+            ids, blobs = _blocks(shard[order], rest[order], np.concatenate((nw, np_)).astype(np.uint32)[order])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "keys", "n"])
+
+    kind = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64()), ("threes", pa.int64())])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-        rest = read("hi", np.uint8).astype(np.uint64) << np.uint64(32) | read("lo", np.uint32)
-        n = read("n", np.uint32).astype(np.int64)
+        rest, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("keys", "n"))
         order = np.argsort(rest)
-        rest, n = rest[order], n[order]
+        rest, n = rest[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
-        total = np.minimum(np.add.reduceat(n, first), 0xFFFFFFFF).astype(np.uint32)
-        rest = rest[first]
-        return pa.table({"shard": [key[0].as_py()], "lo": pa.array([(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()], pa.binary()), "hi": pa.array([(rest >> np.uint64(32)).astype(np.uint8).tobytes()], pa.binary()), "n": pa.array([total.tobytes()], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), ("n", pa.binary())]))
+        n, rest = np.add.reduceat(n, first), rest[first].astype(np.uint64)
+        of_pairs = n[(rest & _LAST) == 1]
+        words = stretch(rest, n, int(np.ceil(_levels(n).sum() * WORDS_A_KEY)) + 1)
+        return pa.table([[key[0].as_py()], [words.tobytes()], *[[int((of_pairs == c).sum())] for c in (1, 2, 3)]], schema=kind)
 
-    schema = "shard int, lo binary, hi binary, n binary"
-    return _training(docs).mapInArrow(work, schema).groupBy("shard").applyInArrow(merge, schema)
+    return _training(docs).mapInArrow(work, "shard int, keys binary, n binary").groupBy("shard").applyInArrow(merge, "shard int, words binary, ones long, twos long, threes long")
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
 
 
+def place(rest: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bits of keys at a level."""
+    x = mix64(rest + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
+    word = ((x >> np.uint64(32)) * size) >> np.uint64(32)
+    y = mix64(x)
+    bits = np.zeros(len(x), np.uint64)
+    for i in range(FIRST_BITS if level == 1 else MORE_BITS):
+        bits |= np.uint64(1) << ((y >> np.uint64(6 * i)) & np.uint64(63))
+    return word, bits
+
+
+def stretch(rest: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The words of a shard that holds keys of these counts."""
+    words, level = np.zeros(size, np.uint64), _levels(n)
+    for at in range(1, int(level.max(initial=0)) + 1):
+        w, bits = place(rest[level >= at], at, np.uint64(size))
+        np.bitwise_or.at(words, w.astype(np.int64), bits)
+    return words
+
+
 class Filter:
-    """words: the bits; offset, size: of each shard's stretch, in words; least: the lowest count that is entered."""
+    """Stretches of some shards, one after the other; offset, size: of each shard's, in words."""
 
-    def __init__(self, shard_bits: int, stretches: dict[int, np.ndarray], least: int = 1):
-        self.shard_bits, self.least = shard_bits, least
+    def __init__(self, shard_bits: int, stretches: dict[int, np.ndarray]):
         self.size = np.array([len(stretches.get(s, ())) for s in range(1 << shard_bits)], np.uint64)
         self.offset = np.concatenate(([0], np.cumsum(self.size[:-1]))).astype(np.uint64)
         self.words = np.concatenate([stretches[s] for s in sorted(stretches)]) if stretches else np.zeros(0, np.uint64)
 
-    @staticmethod
-    def place(rest: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Word and bits of 40-bit keys at a level."""
-        x = mix64(rest + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
-        word = ((x >> np.uint64(32)) * size) >> np.uint64(32)
-        y = mix64(x)
-        bits = np.zeros(len(x), np.uint64)
-        for i in range(FIRST_BITS if level == 1 else MORE_BITS):
-            bits |= np.uint64(1) << ((y >> np.uint64(6 * i)) & np.uint64(63))
-        return word, bits
-
-    @classmethod
-    def stretch(cls, rest: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-        words, level = np.zeros(size, np.uint64), _levels(n)
-        for at in range(1, int(level.max(initial=0)) + 1):
-            w, bits = cls.place(rest[level >= at], at, np.uint64(size))
-            np.bitwise_or.at(words, w.astype(np.int64), bits)
-        return words
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
+    def level(self, shard: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Level of each key, 0 if it is not there."""
-        out = np.zeros(len(keys), np.int64)
-        shard = (keys >> np.uint64(64 - self.shard_bits)).astype(np.int64) if self.shard_bits else np.zeros(len(keys), np.int64)
-        rest, alive = (keys << np.uint64(self.shard_bits)) >> np.uint64(24), np.flatnonzero(self.size[shard] > 0)
-        rest, offset, size = rest[alive], self.offset[shard[alive]], self.size[shard[alive]]
-        for at in range(1, 34):
+        out = np.zeros(len(rest), np.uint8)
+        alive = np.flatnonzero(self.size[shard] > 0)
+        rest, offset, size = rest[alive].astype(np.uint64), self.offset[shard[alive]], self.size[shard[alive]]
+        for at in range(1, _LEVELS):
             if not len(alive):
                 break
-            w, bits = self.place(rest, at, size)
+            w, bits = place(rest, at, size)
             ok = (self.words[(w + offset).astype(np.int64)] & bits) == bits
             alive, rest, offset, size = alive[ok], rest[ok], offset[ok], size[ok]
             out[alive] = at
@@ -190,113 +199,87 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level <= 1, level.astype(float), np.exp2(level - 1.0) / np.log(2.0))
 
 
-def build_filter(grams: DataFrame, shard_bits: int) -> Filter:
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.frombuffer(x, np.uint32)
-                few = np.where(n < 1 << 12, n, np.exp2(_levels(n) - 1).astype(np.int64))
-                c, at = np.unique(few, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(np.bincount(at, _levels(n)).astype(np.int64))], names=["c", "entries"])
-
-    found = dict(tuple(r) for r in grams.select("n").mapInArrow(sizes, "c long, entries long").groupBy("c").agg(F.sum("entries")).collect())  # some 4100 rows at most
-    least, entries = 1, sum(found.values())
-    for c in sorted(found):
-        if entries * WORDS_A_KEY * 8 <= MAX_FILTER_BYTES:
-            break
-        entries -= found[c]
-        least = c + 1 if c < 1 << 12 else 2 * c
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, lo, hi, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rest, n = _unpacked(lo, hi), np.frombuffer(n, np.uint32).astype(np.int64)
-                rest, n = rest[n >= least], n[n >= least]
-                size = int(np.ceil(_levels(n).sum() * WORDS_A_KEY)) + 1 if len(n) else 0
-                words = Filter.stretch(rest, n, size).tobytes() if size else b""
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([words], pa.binary())], names=["shard", "words"])
-
-    rows = grams.mapInArrow(fill, "shard int, words binary").collect()  # MAX_FILTER_BYTES at most
-    return Filter(shard_bits, {r[0]: np.frombuffer(r[1], np.uint64) for r in rows if r[1]}, least)
-
-
-class Told:
-    """Levels of keys that the filter has not; keys ascending."""
-
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.keys, self.levels = keys, levels
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.levels[at], 0).astype(np.int64)
-
-
-class Model:
-    def __init__(self, bloom: Filter, head: np.ndarray, counts: np.ndarray, n: int, v: int):
-        order = np.argsort(head)
-        self.head, self.counts, self.n, self.v, self.bloom = head[order], counts[order], n, v, bloom
-        self.start = np.searchsorted(self.head >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64)) if len(head) else None
-        self.weights = np.zeros(64)
-
-    def exact(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the frequent tokens, 0 for others, and which are frequent."""
-        if not len(self.head):
+class Grams:
+    """The distinct n-grams of a chunk and where each token's are among them."""
+
+    def __init__(self, chunk: Chunk, shard_bits: int):
+        h, self.off = tokens(chunk)
+        self.words, self.word_at = np.unique(h, return_inverse=True)
+        pair, self.pair_at = np.unique(pairs(h, self.off), return_inverse=True)
+        self.shard, self.rest = located(self.words, pair, shard_bits)
+        self.order = np.argsort(self.shard, kind="stable")
+
+    def asked(self) -> tuple[np.ndarray, list[pa.Array]]:
+        return _blocks(self.shard[self.order], self.rest[self.order])
+
+    def codes(self, levels: np.ndarray, in_order: bool) -> np.ndarray:
+        """For each token the levels of the word, its history and the pair as one number; levels: of the n-grams, or as the shards answered."""
+        if in_order:
+            levels, told = np.zeros(len(self.rest), np.uint8), levels
+            levels[self.order] = told
+        word = levels[: len(self.words)].astype(np.int64)[self.word_at]
+        pair = levels[len(self.words) :].astype(np.int64)[self.pair_at]
+        before = np.empty_like(word)
+        if len(word):
+            before[1:] = word[:-1]
+            at = np.searchsorted(self.words, _END)
+            before[self.off[:-1]] = levels[at] if at < len(self.words) and self.words[at] == _END else 0
+        # a pair cannot be where its parts are not, nor more often
+        pair = np.minimum(pair, np.minimum(word, before))
+        return (word * _LEVELS + before) * _LEVELS + pair
+
+
+class Head:
+    """Exact counts of the most frequent tokens."""
+
+    def __init__(self, h: np.ndarray, counts: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.counts = h[order], counts[order]
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, 0 for others, and which are frequent."""
+        if not len(self.h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = self.start[(h >> np.uint64(46)).astype(np.int64)]
-        known = np.zeros(len(h), bool)
-        found = np.zeros(len(h), np.int64)
-        todo, last = np.arange(len(h)), len(self.head) - 1
-        while len(todo):  # the few entries that share the leading bits
-            x = self.head[np.minimum(at, last)]
-            same = x == h[todo]
-            known[todo[same]], found[todo[same]] = True, at[same]
-            on = (x < h[todo]) & (at < last)
-            todo, at = todo[on], at[on] + 1
-        return np.where(known, self.counts[np.minimum(found, last)], 0), known
-
-    def missing(self, some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Keys of the n-grams of texts that neither the frequent tokens nor the filter hold, ascending."""
-        every = [k for h, off in some for k in (unigram_keys(h[~self.exact(h)[1]]), pairs(h, off)[0])]
-        keys = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        return keys[self.bloom.level(keys) == 0]
-
-    def level(self, keys: np.ndarray, told: Told | None) -> np.ndarray:
-        out = self.bloom.level(keys)
-        if told is not None:
-            open_ = np.flatnonzero(out == 0)
-            out[open_] = told.level(keys[open_])
-        return out
-
-    def parts(self, h: np.ndarray, off: np.ndarray, told: Told | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Exact count and whether frequent, estimated count, count of the history and of the pair, of each token."""
-        exact, known = self.exact(h)
-        c = exact.astype(float)
-        rare = np.flatnonzero(~known)
-        c[rare] = expected(self.level(unigram_keys(h[rare]), told))
-        key, _ = pairs(h, off)
-        hist = np.empty_like(c)
-        if len(h):
-            hist[1:] = c[:-1]
-            end, _ = self.exact(np.array([_END]))
-            hist[off[:-1]] = float(end[0])
-        # a pair cannot be where its parts are not
-        pair = np.zeros(len(h))
-        may = np.flatnonzero((c > 0) & (hist > 0))
-        pair[may] = expected(self.level(key[may], told))
-        return exact, known, c, hist, np.minimum(pair, np.minimum(c, hist))
-
-    def bucket(self, hist: np.ndarray) -> np.ndarray:
-        return np.minimum(np.floor(np.log2(np.maximum(hist, 1))).astype(np.int64), 63)
-
-    def log10(self, c: np.ndarray, hist: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        one = (c + 1) / (self.n + self.v + 1)
-        w = np.where(hist > 0, self.weights[self.bucket(hist)], 0.0)
-        return np.log10(w * pair / np.maximum(hist, 1) + (1 - w) * one)
-
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        known = self.h[at] == h
+        return np.where(known, self.counts[at], 0), known
+
+
+_READ = "doc_id long, held_out boolean, n_tokens long, known long, base double, codes binary, rare array<long>"
+_READ_NAMES = ["doc_id", "held_out", "n_tokens", "known", "base", "codes", "rare"]
+
+
+def _read(rows: pa.RecordBatch, some: list[tuple[Chunk, Grams, np.ndarray]], head: Head) -> pa.RecordBatch:
+    """What the scores need of each text: chunks, their n-grams and the codes of their tokens."""
+    size, known, base = (np.zeros(rows.num_rows, kind) for kind in (np.int64, np.int64, float))
+    codes, rare, rare_n = [], [], np.zeros(rows.num_rows, np.int64)
+    for chunk, grams, code in some:
+        count, frequent = head.look(grams.words)
+        r, at = row_of(grams.off), slice(chunk.first_row, chunk.first_row + chunk.n_rows)
+        often = frequent[grams.word_at]
+        size[at] = np.diff(grams.off)
+        known[at] = np.bincount(r, often, chunk.n_rows)
+        base[at] = np.bincount(r, np.log10(count + 1.0)[grams.word_at], chunk.n_rows)
+        rare.append(grams.words[grams.word_at[~often]])
+        rare_n[at] = np.bincount(r, ~often, chunk.n_rows)
+        both, n = np.unique(r * _LEVELS**3 + code, return_counts=True)
+        cut = np.searchsorted(both, np.arange(chunk.n_rows + 1) * _LEVELS**3)
+        c, n = (both % _LEVELS**3).astype(np.uint32), n.astype(np.uint32)
+        codes += [c[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32)), pa.array(signed(np.concatenate(rare) if rare else np.zeros(0, np.uint64))))
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, (size, known, base)), pa.array(codes, pa.binary()), rare], names=_READ_NAMES)
+
+
+def read_with_whole_filter(docs: DataFrame, bloom: Broadcast, head: Broadcast, shard_bits: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for chunk in chunks(batch.column(2)):
+                grams = Grams(chunk, shard_bits)
+                some.append((chunk, grams, grams.codes(bloom.value.level(grams.shard, grams.rest), False)))
+            yield _read(batch, some, head.value)
 
-_RATIOS = 128
+    return docs.select("doc_id", "held_out", "text").mapInArrow(work, _READ)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -305,7 +288,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), BATCH_BYTES):
                 sink, rows = pa.BufferOutputStream(), batch.slice(chunk.first_row, chunk.n_rows)
                 with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(rows)
@@ -315,83 +298,85 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(work, "batch long, body binary")
 
 
-def _opened(body: bytes) -> tuple[pa.RecordBatch, list[Chunk], list[tuple[np.ndarray, np.ndarray]]]:
+def _opened(body: pa.Buffer, shard_bits: int) -> tuple[pa.RecordBatch, Chunk, Grams]:
     batch = pa.ipc.open_stream(body).read_next_batch()
-    some = list(chunks(batch.column(2)))
-    return batch, some, [tokens(c) for c in some]
+    (chunk,) = chunks(batch.column(2), 1 << 62)
+    return batch, chunk, Grams(chunk, shard_bits)
 
 
-def looked_up(docs: DataFrame, grams: DataFrame, sent: Broadcast) -> DataFrame:
-    """(body, levels): texts in batches, and the levels of all their n-grams that the filter has not, by key."""
+def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_bits: int) -> DataFrame:
+    """As with the whole filter; the n-grams of each batch of texts are looked up where their shards are."""
     bodies = materialised(packed_texts(docs))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, blobs = _blocks(*_packed(m.missing(_opened(body.as_buffer())[2]), m.bloom.shard_bits))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids), *blobs], names=["batch", "shard", "lo", "hi"])
+                ids, (keys,) = _opened(body.as_buffer(), shard_bits)[2].asked()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids), keys], names=["batch", "shard", "keys"])
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        have = [_unpacked(lo, hi) for lo, hi in zip(held["lo"].to_pylist(), held["hi"].to_pylist(), strict=True)]
-        level = [_levels(np.frombuffer(n, np.uint32)).astype(np.uint8) for n in held["n"].to_pylist()]
-        told = Told(have[0], level[0]) if have else Told(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-        levels = [told.level(_unpacked(lo, hi)).astype(np.uint8).tobytes() for lo, hi in zip(asked["lo"].to_pylist(), asked["hi"].to_pylist(), strict=True)]
+        bloom = Filter(0, {0: np.frombuffer(held["words"][0].as_py(), np.uint64)} if held.num_rows else {})
+        keys = [np.frombuffer(x, np.uint32) for x in asked["keys"].to_pylist()]
+        level = bloom.level(np.zeros(sum(map(len, keys)), np.int64), np.concatenate(keys)) if keys else np.zeros(0, np.uint8)
+        cut = np.append(0, np.cumsum([len(x) for x in keys]))
+        levels = [level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table({"batch": asked["batch"], "shard": asked["shard"], "levels": pa.array(levels, pa.binary())})
 
-    asked = bodies.mapInArrow(ask, "batch long, shard int, lo binary, hi binary")
-    told = asked.groupBy("shard").cogroup(grams.groupBy("shard")).applyInArrow(answer, "batch long, shard int, levels binary")
-    # keys ascend with their shards
-    told = told.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("levels")).select("batch", F.col("levels.levels").alias("levels"))
-    return materialised(bodies.join(told, "batch", "left").select("body", "levels"))
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, levels in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows, chunk, grams = _opened(body.as_buffer(), shard_bits)
+                yield _read(rows, [(chunk, grams, grams.codes(np.frombuffer(b"".join(levels), np.uint8), True))], head.value)
 
+    asked = bodies.mapInArrow(ask, "batch long, shard int, keys binary")
+    told = asked.groupBy("shard").cogroup(shards.select("shard", "words").groupBy("shard")).applyInArrow(answer, "batch long, shard int, levels binary")
+    told = told.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("levels"))
+    told = materialised(told.select("batch", F.col("levels.levels").alias("levels")))
+    freed(docs.sparkSession)
+    return bodies.join(told, "batch").select("body", "levels").mapInArrow(use, _READ)
 
-def _texts(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[pa.RecordBatch, list[Chunk], list[tuple[np.ndarray, np.ndarray]], Told | None]]:
-    """Rows of (doc_id, held_out, text), their chunks and tokens, and what was looked up for them, of such rows or of ``looked_up``."""
-    for batch in batches:
-        if batch.schema.names[0] != "body":
-            some = list(chunks(batch.column(2)))
-            yield batch, some, [tokens(c) for c in some], None
-            continue
-        for body, levels in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            rows, some, split = _opened(body.as_buffer())
-            yield rows, some, split, Told(m.missing(split), np.frombuffer(b"".join(levels or ()), np.uint8))
 
+def discounts(ones: int, twos: int, threes: int) -> tuple[float, float]:
+    """What is taken from a pair's count of 1, and of more."""
+    y = ones / max(1, ones + 2 * twos)
+    once = 1 - 2 * y * twos / max(1, ones)
+    more = 2 - 3 * y * threes / max(1, twos)
+    return min(max(once, 0.1), 0.95), min(max(more, 0.1), 1.9)
 
-def ratio_counts(texts: DataFrame, sent: Broadcast) -> np.ndarray:
-    """(64, _RATIOS): tokens of all training texts by count of the history and leave-one-out ratio of the two estimates."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = sent.value, np.zeros(64 * _RATIOS, np.int64)
-        for rows, some, split, told in _texts(batches, m):
-            train = ~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for chunk, (h, off) in zip(some, split, strict=True):
-                use = np.repeat(train[chunk.first_row : chunk.first_row + chunk.n_rows], np.diff(off))
-                c, hist, pair = (x[use] for x in m.parts(h, off, told)[2:])
-                one = np.maximum(c, 1) / (m.n + m.v + 1)
-                two = np.maximum(pair - 1, 0) / np.maximum(hist - 1, 1)
-                ratio = np.clip(np.round(4 * np.log2(np.maximum(two, 1e-300) / one)) + 32, 0, _RATIOS - 1).astype(np.int64)
-                out += np.bincount(m.bucket(hist) * _RATIOS + np.where(two > 0, ratio, 0), minlength=len(out))
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["k", "n"])
-
-    rows = texts.mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n")).collect()  # 64 x _RATIOS rows at most
-    counts = np.zeros((64, _RATIOS))
-    for k, n in rows:
-        counts[k // _RATIOS, k % _RATIOS] = n
-    return counts
-
-
-def fit_weights(counts: np.ndarray) -> np.ndarray:
-    """Interpolation weights by EM over leave-one-out estimates."""
-    r = np.exp2((np.arange(_RATIOS) - 32) / 4)
-    r[0] = 0.0
-    w = np.full(64, 0.5)
-    for _ in range(100):
-        w = ((counts * (w[:, None] * r / (w[:, None] * r + 1 - w[:, None]))).sum(1) + 0.5) / (counts.sum(1) + 1.0)
-        w = np.minimum(w, 0.999)
-    seen = counts.sum(1) >= 20
-    return np.where(seen, w, np.minimum(w, 0.3))
+def opened_code(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the word, its history and the pair."""
+    return code // _LEVELS**2, code // _LEVELS % _LEVELS, code % _LEVELS
+
+
+class Model:
+    """Probabilities of tokens by their codes.  n, v: training tokens and distinct ones; codes: how many training tokens have each code; d: the discounts."""
+
+    def __init__(self, n: int, v: int, codes: dict[int, int], d: tuple[float, float]):
+        code = np.array(sorted(codes), np.int64)
+        k = np.array([codes[c] for c in code.tolist()], float)
+        _, before, pair = opened_code(code)
+        taken = np.where(pair > 0, self.less(pair, d) / np.maximum(expected(pair), 1.0), 1.0)
+        mass, every = (np.bincount(before, w, _LEVELS) for w in (k * taken, k))
+        # a history never met gives its whole mass to the words; one token stands for levels not met
+        self.mass = (mass + 1.0) / (every + 1.0)
+        self.mass[0] = 1.0
+        self.n, self.v, self.d = n, v, d
+
+    @staticmethod
+    def less(pair: np.ndarray, d: tuple[float, float]) -> np.ndarray:
+        return np.where(pair <= 1, d[0], d[1])
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        word, before, pair = opened_code(code)
+        one = (expected(word) + 1) / (self.n + self.v + 1)
+        two = np.where(pair > 0, np.maximum(expected(pair) - self.less(pair, self.d), 0.0), 0.0) / np.maximum(expected(before), 1.0)
+        return np.log10(np.minimum(two + self.mass[before] * one, 1.0))
+
+
+def _codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    c, n = np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64)
+    return c, n
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -401,40 +386,42 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     counts = materialised(token_counts(docs))
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    rows = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    head = spark.sparkContext.broadcast(Head(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)))
+    del rows
     shard_bits = int(np.ceil(np.log2(max(8, SHARDS_A_PARTITION * docs.rdd.getNumPartitions()))))
-    grams = materialised(ngram_counts(docs, shard_bits))
-    model = Model(build_filter(grams, shard_bits), np.array([r[0] for r in head], np.int64).view(np.uint64), np.array([r[1] for r in head], np.int64), n, v)
-    del head
-    texts = docs.select("doc_id", "held_out", "text")
-    sent = spark.sparkContext.broadcast(model)
-    if model.bloom.least > 1:
-        texts = looked_up(docs, grams, sent)
-    model.weights = fit_weights(ratio_counts(texts, sent))
-    sent = spark.sparkContext.broadcast(model)
+    shards = materialised(filter_shards(docs, shard_bits))
+    freed(spark)
+    size, *pairs_of = (int(x or 0) for x in shards.agg(F.sum(F.octet_length("words")), F.sum("ones"), F.sum("twos"), F.sum("threes")).first())
+    if size <= MAX_FILTER_BYTES:
+        bloom = Filter(shard_bits, {r[0]: np.frombuffer(r[1], np.uint64) for r in shards.select("shard", "words").collect()})
+        read = read_with_whole_filter(docs, spark.sparkContext.broadcast(bloom), head, shard_bits)
+    else:
+        read = read_with_shards(docs, shards, head, shard_bits)
+    read = materialised(read.withColumn("rid", F.monotonically_increasing_id()))
+    freed(spark)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch, some, split, told in _texts(batches, m):
-            rows = batch.num_rows
-            size, known, base, score = (np.zeros(rows, kind) for kind in (np.int64, np.int64, float, float))
-            rare, rare_n = [], np.zeros(rows, np.int64)
-            for chunk, (h, off) in zip(some, split, strict=True):
-                exact, frequent, c, hist, pair = m.parts(h, off, told)
-                r, at = row_of(off), slice(chunk.first_row, chunk.first_row + chunk.n_rows)
-                size[at] = np.diff(off)
-                known[at] = np.bincount(r, frequent & (exact > 0), chunk.n_rows)
-                base[at] = np.bincount(r, np.log10(exact + 1.0), chunk.n_rows)
-                score[at] = np.bincount(r, m.log10(c, hist, pair), chunk.n_rows)
-                rare.append(h[~frequent])
-                rare_n[at] = np.bincount(r, ~frequent, chunk.n_rows)
-            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32)), pa.array(signed(np.concatenate(rare) if rare else np.zeros(0, np.uint64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (size, known, base, score)), rare], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-    scored = texts.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
-    scored = materialised(scored.withColumn("rid", F.monotonically_increasing_id()))
+    def code_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_LEVELS**3, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                c, k = _codes(blob)
+                total[c] += k
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "k"])
+
+    met = read.where("NOT held_out").select("codes").mapInArrow(code_counts, "code long, k long").groupBy("code").agg(F.sum("k")).collect()  # _LEVELS cubed rows at most
+    model = spark.sparkContext.broadcast(Model(n, v, dict(map(tuple, met)), discounts(*pairs_of)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = model.value.log10(np.arange(_LEVELS**3))
+        for batch in batches:
+            out = [float((p[c] * k).sum()) for c, k in map(_codes, batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64()), batch.column(6)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rid"])
+
+    scored = read.select("doc_id", "held_out", "n_tokens", "known", "base", "codes", "rid").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rid long")
     if v > HEAD:
-        rare = scored.select("rid", F.explode("rare").alias("h")).groupBy("h", "rid").agg(F.count("*").alias("k"))
+        rare = read.select("rid", F.explode("rare").alias("h")).groupBy("h", "rid").agg(F.count("*").alias("k"))
         tail = rare.join(counts, "h").groupBy("rid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"))
         scored = scored.join(tail, "rid", "left")
     else:

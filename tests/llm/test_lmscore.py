@@ -34,41 +34,85 @@ def test_score_beats_the_base_on_held_out_text(spark, sf):
 
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    keys = np.unique(rng.integers(0, 1 << 31, 20_000, dtype=np.uint64)) * np.uint64(2)
     n = np.minimum(rng.zipf(1.8, len(keys)), 10_000)
-    bits, rest = 3, (keys << np.uint64(3)) >> np.uint64(24)
-    shard = (keys >> np.uint64(61)).astype(int)
-    stretches = {s: lmscore.Filter.stretch(rest[shard == s], n[shard == s], int(np.ceil(lmscore._levels(n[shard == s]).sum() * lmscore.WORDS_A_KEY)) + 1) for s in range(8)}
-    f = lmscore.Filter(bits, stretches)
-    level, true = f.level(keys), lmscore._levels(n)
-    assert (level >= true).all() and (level == true).mean() > 0.9
-    other = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    assert (f.level(other) > 0).mean() < 0.05
-
-
-def test_a_full_filter_leaves_rare_pairs_to_the_words(docs, texts, monkeypatch):
-    monkeypatch.setattr(lmscore, "MAX_FILTER_BYTES", 2000)
-    out = lmscore.report(docs).collect()
-    assert len(out) == len(texts) and all(math.isfinite(r.score) for r in out)
-
-
-@pytest.mark.parametrize("full", [0, 3000])
-def test_scores_do_not_change_when_the_filter_is_full(docs, monkeypatch, full):
-    monkeypatch.setattr(lmscore, "HEAD", 20)
+    shard = (np.arange(len(keys)) % 8).astype(np.int64)
+    size = lambda n: int(np.ceil(lmscore._levels(n).sum() * lmscore.WORDS_A_KEY)) + 1
+    f = lmscore.Filter(3, {s: lmscore.stretch(keys[shard == s], n[shard == s], size(n[shard == s])) for s in range(8)})
+    level, true = f.level(shard, keys.astype(np.uint32)), lmscore._levels(n)
+    assert (level >= true).all() and (level == true).mean() > 0.95
+    other = rng.integers(0, 1 << 31, 50_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (f.level(rng.integers(0, 8, len(other)), other.astype(np.uint32)) > 0).mean() < 0.02
+
+
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_score_is_that_of_a_plain_model(docs, texts, monkeypatch, most):
+    """Exact counts, quantised by hand, discounted and added up word by word; the filter is broadcast or probed where its shards are."""
+    monkeypatch.setattr(lmscore, "MAX_FILTER_BYTES", most)
     monkeypatch.setattr(lmscore, "WORDS_A_KEY", 1.0)  # so that next to nothing is found by mistake
+    monkeypatch.setattr(lmscore, "FIRST_BITS", 10)
+    level = lambda c: int(math.log2(c)) + 1 if c else 0
+    mean = lambda x: float(x) if x <= 1 else 2 ** (x - 1) / math.log(2)
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None] for _, t in texts]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in texts]
+    words, both = Counter(), Counter()
+    for ts, use in zip(tokens, train, strict=True):
+        if use:
+            words.update(ts)
+            both.update(zip([None, *ts[:-1]], ts, strict=True))
+    n, v = sum(words.values()), len(words)
+    sizes = Counter(both.values())
+    y = sizes[1] / (sizes[1] + 2 * sizes[2])
+    d = [0, min(max(1 - 2 * y * sizes[2] / sizes[1], 0.1), 0.95), min(max(2 - 3 * y * sizes[3] / max(1, sizes[2]), 0.1), 1.9)]
+    of = lambda a, b: (level(words[b]), level(words[a]), min(level(both[a, b]), level(words[a]), level(words[b])))
+    taken, every = Counter(), Counter()
+    for ts, use in zip(tokens, train, strict=True):
+        for a, b in zip([None, *ts[:-1]], ts, strict=True) if use else ():
+            _, h, p = of(a, b)
+            every[h] += 1
+            taken[h] += d[min(p, 2)] / mean(p) if p else 1.0
+    want = []
+    for (i, _), ts in zip(texts, tokens, strict=True):
+        total = 0.0
+        for a, b in zip([None, *ts[:-1]], ts, strict=True):
+            w, h, p = of(a, b)
+            mass = (taken[h] + 1) / (every[h] + 1) if h else 1.0
+            total += math.log10(min(1.0, (max(mean(p) - d[min(p, 2)], 0) / max(mean(h), 1) if p else 0) + mass * (mean(w) + 1) / (n + v + 1)))
+        want.append((str(i), len(ts), total))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lmscore.report(docs).collect())
+    close = [abs(a[2] - b[2]) < 1e-6 * abs(b[2]) + 1e-9 for a, b in zip(got, sorted(want), strict=True)]
+    assert np.mean(close) > 0.97, np.mean(close)
+
+
+def test_filter_gives_the_same_scores_broadcast_or_in_shards(docs, monkeypatch):
     scores = []
-    for most in (1 << 30, full):
+    for most in (1 << 30, 0):
         monkeypatch.setattr(lmscore, "MAX_FILTER_BYTES", most)
-        scores.append(sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in lmscore.report(docs).collect()), key=str))
-    assert len(scores[0]) == len(scores[1])
-    assert np.allclose([r[3] for r in scores[0]], [r[3] for r in scores[1]], rtol=1e-4)
+        monkeypatch.setattr(lmscore, "BATCH_BYTES", 3000)
+        scores.append(sorted(((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lmscore.report(docs).collect())))
+    assert np.allclose([r[3] for r in scores[0]], [r[3] for r in scores[1]], rtol=1e-12)
 
 
-def test_weights_rest_on_every_training_token(spark, monkeypatch):
-    seen, fit = [], lmscore.fit_weights
-    monkeypatch.setattr(lmscore, "fit_weights", lambda counts: seen.append(counts.sum()) or fit(counts))
+def test_model_rests_on_every_training_token(spark, monkeypatch):
+    seen, init = [], lmscore.Model.__init__
+    monkeypatch.setattr(lmscore.Model, "__init__", lambda self, n, v, codes, d: seen.append(sum(codes.values())) or init(self, n, v, codes, d))
     rows = spark.range(6000).selectExpr("id AS doc_id", "concat('a b w', id % 50) AS text")
-    assert seen == [] and lmscore.report(rows).first().train_tokens == seen[0] > 4 * 5000
+    assert lmscore.report(rows).first().train_tokens == seen[0] > 4 * 5000
+
+
+def test_a_text_met_in_training_scores_above_a_new_one(spark):
+    import random
+
+    from conftest import WORDS
+
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(80))
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, text()) for i in range(3000)]
+    again = {held[k]: rows[held[k] + 1][1] for k in range(0, 100, 2) if held[k] + 1 not in held}
+    out = {r.doc_id: r for r in lmscore.report(spark.createDataFrame([(i, again.get(i, t)) for i, t in rows], "doc_id long, text string")).collect()}
+    new = [out[i].score - out[i].base_score for i in held if i not in again]
+    assert min(out[i].score - out[i].base_score for i in again) > max(new)
 
 
 def test_empty_and_nothing_to_learn(spark, none):
