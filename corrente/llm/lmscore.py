@@ -19,8 +19,8 @@ bigrams of count 1, 2 and 3.  So the score depends on how many tokens of a text
 have each combination of levels (of the word, its history and the pair); texts
 are read once for these numbers, and the scores follow from them.
 
-The base score needs exact counts: the ``HEAD`` most frequent tokens are
-broadcast, all others are joined by hash.
+The base score needs exact counts: those of the most frequent tokens, ``HEAD`` of
+them at most, are broadcast, all others are joined by hash.
 
 n-grams travel as blocks of 32-bit keys, a row a batch and shard, and shards grow
 in number with the input, so no shard outgrows a task.  Two n-grams of a shard
@@ -50,9 +50,9 @@ HEAD = 1 << 18
 MAX_FILTER_BYTES = 8 << 20
 FIRST_BITS, MORE_BITS = 7, 4
 WORDS_A_KEY = 14 / 64  # 14 bits an entry at any level
-SHARDS_A_PARTITION = 2
-#: Bytes of text whose n-grams travel together.
-BATCH_BYTES = 2 << 20
+SHARDS_A_PARTITION = 4
+#: Bytes of text whose n-grams travel together, to be counted and to be looked up, and keys that are looked up at once.
+COUNTED_BYTES, BATCH_BYTES, KEYS_AT_ONCE = 8 << 20, 4 << 20, 1 << 19
 _LEVELS = 34
 _END = np.uint64(0x5BD1E9955BD1E995)
 _UNIGRAM = np.uint64(0x1F83D9ABFB41BD6B)
@@ -98,6 +98,19 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return _training(docs).mapInArrow(work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens: as many of the highest counts as give ``HEAD`` rows at most."""
+    size = F.when(F.col("c") < 1 << 12, F.col("c")).otherwise(F.lit(1 << 12) * F.floor(F.col("c") / (1 << 12)))
+    found = sorted(map(tuple, counts.where(F.col("c") < 1 << 24).groupBy(size.alias("at")).agg(F.count("*")).collect()), reverse=True)  # some 8000 rows at most
+    least, total = 1 << 24, counts.where(F.col("c") >= 1 << 24).count()
+    for at, n in found:
+        total += n
+        if total > HEAD:
+            break
+        least = at
+    return counts.where(F.col("c") >= least).select("h", "c")
+
+
 def located(words: np.ndarray, pair: np.ndarray, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and 32-bit key of words, then of pairs; the last bit of a key tells them apart."""
     keys = np.concatenate((unigram_keys(words), pair))
@@ -119,18 +132,13 @@ def filter_shards(docs: DataFrame, shard_bits: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, pair = [], []
-            for c in chunks(batch.column(0)):
-                h, off = tokens(c)
-                words.append(h)
-                pair.append(pairs(h, off))
-            if not words:
-                continue
-            (words, nw), (pair, np_) = (np.unique(np.concatenate(x), return_counts=True) for x in (words, pair))
-            shard, rest = located(words, pair, shard_bits)
-            order = np.argsort(shard, kind="stable")
-            ids, blobs = _blocks(shard[order], rest[order], np.concatenate((nw, np_)).astype(np.uint32)[order])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "keys", "n"])
+            for chunk in chunks(batch.column(0), COUNTED_BYTES):
+                h, off = tokens(chunk)
+                (words, nw), (pair, n) = np.unique(h, return_counts=True), np.unique(pairs(h, off), return_counts=True)
+                shard, rest = located(words, pair, shard_bits)
+                order = np.argsort(shard, kind="stable")
+                ids, blobs = _blocks(shard[order], rest[order], np.concatenate((nw, n)).astype(np.uint32)[order])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "keys", "n"])
 
     kind = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64()), ("threes", pa.int64())])
 
@@ -316,9 +324,11 @@ def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         bloom = Filter(0, {0: np.frombuffer(held["words"][0].as_py(), np.uint64)} if held.num_rows else {})
-        keys = [np.frombuffer(x, np.uint32) for x in asked["keys"].to_pylist()]
-        level = bloom.level(np.zeros(sum(map(len, keys)), np.int64), np.concatenate(keys)) if keys else np.zeros(0, np.uint8)
-        cut = np.append(0, np.cumsum([len(x) for x in keys]))
+        blocks = asked["keys"].to_pylist()
+        cut = np.append(0, np.cumsum([len(x) // 4 for x in blocks]))
+        keys = np.frombuffer(b"".join(blocks), np.uint32)
+        parts = [keys[a : a + KEYS_AT_ONCE] for a in range(0, len(keys), KEYS_AT_ONCE)]
+        level = np.concatenate([bloom.level(np.zeros(len(x), np.int64), x) for x in parts] or [np.zeros(0, np.uint8)])
         levels = [level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table({"batch": asked["batch"], "shard": asked["shard"], "levels": pa.array(levels, pa.binary())})
 
@@ -386,8 +396,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     counts = materialised(token_counts(docs))
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    rows = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    rows = frequent(counts).collect()  # HEAD at most
     head = spark.sparkContext.broadcast(Head(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)))
+    few = len(rows) < v
     del rows
     shard_bits = int(np.ceil(np.log2(max(8, SHARDS_A_PARTITION * docs.rdd.getNumPartitions()))))
     shards = materialised(filter_shards(docs, shard_bits))
@@ -420,7 +431,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64()), batch.column(6)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rid"])
 
     scored = read.select("doc_id", "held_out", "n_tokens", "known", "base", "codes", "rid").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rid long")
-    if v > HEAD:
+    if few:
         rare = read.select("rid", F.explode("rare").alias("h")).groupBy("h", "rid").agg(F.count("*").alias("k"))
         tail = rare.join(counts, "h").groupBy("rid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"))
         scored = scored.join(tail, "rid", "left")
