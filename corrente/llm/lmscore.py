@@ -120,11 +120,27 @@ def located(words: np.ndarray, pair: np.ndarray, shard_bits: int) -> tuple[np.nd
     return shard, rest.astype(np.uint32)
 
 
-def _blocks(shard: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Each shard and, for every column, its part as bytes; shards ascending."""
+def _order(shard: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """By shard, then by key."""
+    return np.argsort(shard.astype(np.uint64) << np.uint64(32) | rest)
+
+
+def _blocks(shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Each shard and its part of the keys (as their steps) and of the columns, as bytes: first bytes before second ones and so on, which compresses well.  Rows in ``_order``."""
     ids, first = np.unique(shard, return_index=True)
     cut = np.append(first, len(shard))
-    return ids.astype(np.int32), [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in columns]
+    split = lambda x: np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    steps = lambda x: np.diff(x, prepend=np.uint32(0))
+    parts = [(keys, steps), *((c, lambda x: x) for c in columns)]
+    return ids.astype(np.int32), [pa.array([split(f(x[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x, f in parts]
+
+
+def _joined(blocks: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in blocks] or [np.zeros(0, np.uint32)])
+
+
+def _keys(blocks: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.cumsum(_joined([x]), dtype=np.uint32) for x in blocks] or [np.zeros(0, np.uint32)])
 
 
 def filter_shards(docs: DataFrame, shard_bits: int) -> DataFrame:
@@ -136,14 +152,14 @@ def filter_shards(docs: DataFrame, shard_bits: int) -> DataFrame:
                 h, off = tokens(chunk)
                 (words, nw), (pair, n) = np.unique(h, return_counts=True), np.unique(pairs(h, off), return_counts=True)
                 shard, rest = located(words, pair, shard_bits)
-                order = np.argsort(shard, kind="stable")
+                order = _order(shard, rest)
                 ids, blobs = _blocks(shard[order], rest[order], np.concatenate((nw, n)).astype(np.uint32)[order])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *blobs], names=["shard", "keys", "n"])
 
     kind = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64()), ("threes", pa.int64())])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        rest, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("keys", "n"))
+        rest, n = _keys(table["keys"].to_pylist()), _joined(table["n"].to_pylist())
         order = np.argsort(rest)
         rest, n = rest[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
@@ -215,7 +231,7 @@ class Grams:
         self.words, self.word_at = np.unique(h, return_inverse=True)
         pair, self.pair_at = np.unique(pairs(h, self.off), return_inverse=True)
         self.shard, self.rest = located(self.words, pair, shard_bits)
-        self.order = np.argsort(self.shard, kind="stable")
+        self.order = _order(self.shard, self.rest)
 
     def asked(self) -> tuple[np.ndarray, list[pa.Array]]:
         return _blocks(self.shard[self.order], self.rest[self.order])
@@ -253,14 +269,14 @@ class Head:
         return np.where(known, self.counts[at], 0), known
 
 
-_READ = "doc_id long, held_out boolean, n_tokens long, known long, base double, codes binary, rare array<long>"
-_READ_NAMES = ["doc_id", "held_out", "n_tokens", "known", "base", "codes", "rare"]
+_READ = "doc_id long, held_out boolean, n_tokens long, known long, base double, codes binary, rare array<long>, rare_n array<int>"
+_READ_NAMES = ["doc_id", "held_out", "n_tokens", "known", "base", "codes", "rare", "rare_n"]
 
 
 def _read(rows: pa.RecordBatch, some: list[tuple[Chunk, Grams, np.ndarray]], head: Head) -> pa.RecordBatch:
     """What the scores need of each text: chunks, their n-grams and the codes of their tokens."""
     size, known, base = (np.zeros(rows.num_rows, kind) for kind in (np.int64, np.int64, float))
-    codes, rare, rare_n = [], [], np.zeros(rows.num_rows, np.int64)
+    codes, rare, times, rare_n = [], [], [], np.zeros(rows.num_rows, np.int64)
     for chunk, grams, code in some:
         count, frequent = head.look(grams.words)
         r, at = row_of(grams.off), slice(chunk.first_row, chunk.first_row + chunk.n_rows)
@@ -268,14 +284,17 @@ def _read(rows: pa.RecordBatch, some: list[tuple[Chunk, Grams, np.ndarray]], hea
         size[at] = np.diff(grams.off)
         known[at] = np.bincount(r, often, chunk.n_rows)
         base[at] = np.bincount(r, np.log10(count + 1.0)[grams.word_at], chunk.n_rows)
-        rare.append(grams.words[grams.word_at[~often]])
-        rare_n[at] = np.bincount(r, ~often, chunk.n_rows)
+        seldom, k = np.unique(r[~often] * len(grams.words) + grams.word_at[~often], return_counts=True)
+        rare.append(grams.words[seldom % max(1, len(grams.words))])
+        times.append(k.astype(np.int32))
+        rare_n[at] = np.bincount(seldom // max(1, len(grams.words)), minlength=chunk.n_rows)
         both, n = np.unique(r * _LEVELS**3 + code, return_counts=True)
         cut = np.searchsorted(both, np.arange(chunk.n_rows + 1) * _LEVELS**3)
         c, n = (both % _LEVELS**3).astype(np.uint32), n.astype(np.uint32)
         codes += [c[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32)), pa.array(signed(np.concatenate(rare) if rare else np.zeros(0, np.uint64))))
-    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, (size, known, base)), pa.array(codes, pa.binary()), rare], names=_READ_NAMES)
+    cut = pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (signed(np.concatenate(rare or [np.zeros(0, np.uint64)])), np.concatenate(times or [np.zeros(0, np.int32)]))]
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, (size, known, base)), pa.array(codes, pa.binary()), *lists], names=_READ_NAMES)
 
 
 def read_with_whole_filter(docs: DataFrame, bloom: Broadcast, head: Broadcast, shard_bits: int) -> DataFrame:
@@ -326,7 +345,7 @@ def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_
         bloom = Filter(0, {0: np.frombuffer(held["words"][0].as_py(), np.uint64)} if held.num_rows else {})
         blocks = asked["keys"].to_pylist()
         cut = np.append(0, np.cumsum([len(x) // 4 for x in blocks]))
-        keys = np.frombuffer(b"".join(blocks), np.uint32)
+        keys = _keys(blocks)
         parts = [keys[a : a + KEYS_AT_ONCE] for a in range(0, len(keys), KEYS_AT_ONCE)]
         level = np.concatenate([bloom.level(np.zeros(len(x), np.int64), x) for x in parts] or [np.zeros(0, np.uint8)])
         levels = [level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -432,7 +451,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     scored = read.select("doc_id", "held_out", "n_tokens", "known", "base", "codes", "rid").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rid long")
     if few:
-        rare = read.select("rid", F.explode("rare").alias("h")).groupBy("h", "rid").agg(F.count("*").alias("k"))
+        rare = read.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("k"))
         tail = rare.join(counts, "h").groupBy("rid").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"))
         scored = scored.join(tail, "rid", "left")
     else:
