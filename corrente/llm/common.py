@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -123,4 +124,5 @@ def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column],
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that are gone: its cleaner waits for a garbage collection of the driver, which an idle heap puts off while disks fill."""
     gc.collect()
+    time.sleep(0.3)  # until the JVM has learned what Python let go of
     spark.sparkContext._jvm.System.gc()

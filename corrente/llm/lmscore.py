@@ -289,8 +289,11 @@ def _read(rows: pa.RecordBatch, some: list[tuple[Chunk, Grams, np.ndarray]], hea
         times.append(k.astype(np.int32))
         rare_n[at] = np.bincount(seldom // max(1, len(grams.words)), minlength=chunk.n_rows)
         both, n = np.unique(r * _LEVELS**3 + code, return_counts=True)
+        # in two bytes each; a code of more tokens than these hold comes several times
+        more = (n - 1) // 0xFFFF
+        both, n = np.repeat(both, more + 1), np.insert(np.full(more.sum(), 0xFFFF), np.cumsum(more), n - more * 0xFFFF)
         cut = np.searchsorted(both, np.arange(chunk.n_rows + 1) * _LEVELS**3)
-        c, n = (both % _LEVELS**3).astype(np.uint32), n.astype(np.uint32)
+        c, n = (both % _LEVELS**3).astype(np.uint16), n.astype(np.uint16)
         codes += [c[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
     cut = pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (signed(np.concatenate(rare or [np.zeros(0, np.uint64)])), np.concatenate(times or [np.zeros(0, np.int32)]))]
@@ -317,7 +320,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(2), BATCH_BYTES):
                 sink, rows = pa.BufferOutputStream(), batch.slice(chunk.first_row, chunk.n_rows)
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
                     out.write_batch(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "body"])
                 number += 1
@@ -404,7 +407,7 @@ class Model:
 
 
 def _codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    c, n = np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64)
+    c, n = np.frombuffer(blob, np.uint16).reshape(2, -1).astype(np.int64)
     return c, n
 
 
@@ -436,7 +439,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 c, k = _codes(blob)
-                total[c] += k
+                np.add.at(total, c, k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "k"])
 

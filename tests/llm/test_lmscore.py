@@ -120,3 +120,10 @@ def test_empty_and_nothing_to_learn(spark, none):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lmscore.report(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_a_code_of_very_many_tokens(spark):
+    rows = spark.createDataFrame([(1, "ab " * 200_000), (2, "ab " * 65_535), (3, "cd")], "doc_id long, text string")
+    a, b, _ = sorted(lmscore.report(rows).collect())
+    assert a.n_tokens == 200_001 and b.n_tokens == 65_536
+    assert abs(a.score / a.n_tokens - b.score / b.n_tokens) < 1e-3 * abs(a.score / a.n_tokens)
