@@ -68,6 +68,17 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(chunk.n_rows + 1)
 
 
+def all_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of whole arrays, a chunk after the other."""
+    h, off, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for c in chunks(texts):
+        x, at = tokens(c)
+        h.append(x)
+        off.append(at[1:] + total)
+        total += len(x)
+    return np.concatenate(h), np.concatenate(off)
+
+
 def pairs(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Key of each token with the one before it; an end stands before the first."""
     before = np.empty_like(h)
@@ -148,8 +159,8 @@ def filter_shards(docs: DataFrame, shard_bits: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(0), COUNTED_BYTES):
-                h, off = tokens(chunk)
+            for part in chunks(batch.column(0), COUNTED_BYTES):
+                h, off = all_tokens(batch.column(0).slice(part.first_row, part.n_rows))
                 (words, nw), (pair, n) = np.unique(h, return_counts=True), np.unique(pairs(h, off), return_counts=True)
                 shard, rest = located(words, pair, shard_bits)
                 order = _order(shard, rest)
@@ -224,10 +235,10 @@ def expected(level: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of a chunk and where each token's are among them."""
+    """The distinct n-grams of some texts and where each token's are among them."""
 
-    def __init__(self, chunk: Chunk, shard_bits: int):
-        h, self.off = tokens(chunk)
+    def __init__(self, texts: pa.Array, shard_bits: int):
+        h, self.off = all_tokens(texts)
         self.words, self.word_at = np.unique(h, return_inverse=True)
         pair, self.pair_at = np.unique(pairs(h, self.off), return_inverse=True)
         self.shard, self.rest = located(self.words, pair, shard_bits)
@@ -273,26 +284,27 @@ _READ = "doc_id long, held_out boolean, n_tokens long, known long, base double,
 _READ_NAMES = ["doc_id", "held_out", "n_tokens", "known", "base", "codes", "rare", "rare_n"]
 
 
-def _read(rows: pa.RecordBatch, some: list[tuple[Chunk, Grams, np.ndarray]], head: Head) -> pa.RecordBatch:
-    """What the scores need of each text: chunks, their n-grams and the codes of their tokens."""
+def _read(rows: pa.RecordBatch, some: list[tuple[int, Grams, np.ndarray]], head: Head) -> pa.RecordBatch:
+    """What the scores need of each text; some: the first row, the n-grams and the codes of the tokens of runs of rows."""
     size, known, base = (np.zeros(rows.num_rows, kind) for kind in (np.int64, np.int64, float))
     codes, rare, times, rare_n = [], [], [], np.zeros(rows.num_rows, np.int64)
-    for chunk, grams, code in some:
+    for first, grams, code in some:
         count, frequent = head.look(grams.words)
-        r, at = row_of(grams.off), slice(chunk.first_row, chunk.first_row + chunk.n_rows)
+        n_rows = len(grams.off) - 1
+        r, at = row_of(grams.off), slice(first, first + n_rows)
         often = frequent[grams.word_at]
         size[at] = np.diff(grams.off)
-        known[at] = np.bincount(r, often, chunk.n_rows)
-        base[at] = np.bincount(r, np.log10(count + 1.0)[grams.word_at], chunk.n_rows)
+        known[at] = np.bincount(r, often, n_rows)
+        base[at] = np.bincount(r, np.log10(count + 1.0)[grams.word_at], n_rows)
         seldom, k = np.unique(r[~often] * len(grams.words) + grams.word_at[~often], return_counts=True)
         rare.append(grams.words[seldom % max(1, len(grams.words))])
         times.append(k.astype(np.int32))
-        rare_n[at] = np.bincount(seldom // max(1, len(grams.words)), minlength=chunk.n_rows)
+        rare_n[at] = np.bincount(seldom // max(1, len(grams.words)), minlength=n_rows)
         both, n = np.unique(r * _LEVELS**3 + code, return_counts=True)
         # in two bytes each; a code of more tokens than these hold comes several times
         more = (n - 1) // 0xFFFF
         both, n = np.repeat(both, more + 1), np.insert(np.full(more.sum(), 0xFFFF), np.cumsum(more), n - more * 0xFFFF)
-        cut = np.searchsorted(both, np.arange(chunk.n_rows + 1) * _LEVELS**3)
+        cut = np.searchsorted(both, np.arange(n_rows + 1) * _LEVELS**3)
         c, n = (both % _LEVELS**3).astype(np.uint16), n.astype(np.uint16)
         codes += [c[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
     cut = pa.array(np.append(0, np.cumsum(rare_n)).astype(np.int32))
@@ -304,9 +316,9 @@ def read_with_whole_filter(docs: DataFrame, bloom: Broadcast, head: Broadcast, s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = []
-            for chunk in chunks(batch.column(2)):
-                grams = Grams(chunk, shard_bits)
-                some.append((chunk, grams, grams.codes(bloom.value.level(grams.shard, grams.rest), False)))
+            for part in chunks(batch.column(2)):
+                grams = Grams(batch.column(2).slice(part.first_row, part.n_rows), shard_bits)
+                some.append((part.first_row, grams, grams.codes(bloom.value.level(grams.shard, grams.rest), False)))
             yield _read(batch, some, head.value)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(work, _READ)
@@ -328,10 +340,9 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(work, "batch long, body binary")
 
 
-def _opened(body: pa.Buffer, shard_bits: int) -> tuple[pa.RecordBatch, Chunk, Grams]:
+def _opened(body: pa.Buffer, shard_bits: int) -> tuple[pa.RecordBatch, Grams]:
     batch = pa.ipc.open_stream(body).read_next_batch()
-    (chunk,) = chunks(batch.column(2), 1 << 62)
-    return batch, chunk, Grams(chunk, shard_bits)
+    return batch, Grams(batch.column(2), shard_bits)
 
 
 def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_bits: int) -> DataFrame:
@@ -341,7 +352,7 @@ def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, (keys,) = _opened(body.as_buffer(), shard_bits)[2].asked()
+                ids, (keys,) = _opened(body.as_buffer(), shard_bits)[1].asked()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids), keys], names=["batch", "shard", "keys"])
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -357,8 +368,8 @@ def read_with_shards(docs: DataFrame, shards: DataFrame, head: Broadcast, shard_
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, levels in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows, chunk, grams = _opened(body.as_buffer(), shard_bits)
-                yield _read(rows, [(chunk, grams, grams.codes(np.frombuffer(b"".join(levels), np.uint8), True))], head.value)
+                rows, grams = _opened(body.as_buffer(), shard_bits)
+                yield _read(rows, [(0, grams, grams.codes(np.frombuffer(b"".join(levels), np.uint8), True))], head.value)
 
     asked = bodies.mapInArrow(ask, "batch long, shard int, keys binary")
     told = asked.groupBy("shard").cogroup(shards.select("shard", "words").groupBy("shard")).applyInArrow(answer, "batch long, shard int, levels binary")

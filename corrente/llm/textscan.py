@@ -35,14 +35,16 @@ _pow: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd multiplier and of its inverse modulo 2**64."""
+    """Powers of the odd multiplier and of its inverse modulo 2**64; those that a chunk needs are kept, more (of one very long text) are not."""
     if not _pow or len(_pow[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        inv = pow(_MULT, -1, 1 << 64)
-        both = np.empty((2, size), np.uint64)
-        both[0], both[1] = np.uint64(_MULT), np.uint64(inv)
+        both = np.empty((2, max(n, CHUNK_BYTES + 1)), np.uint64)
+        both[0], both[1] = np.uint64(_MULT), np.uint64(pow(_MULT, -1, 1 << 64))
         both[:, 0] = 1
-        _pow[:] = [np.cumprod(x) for x in both]
+        for x in both:
+            np.cumprod(x, out=x)
+        if n > CHUNK_BYTES + 1:
+            return both[0], both[1]
+        _pow[:] = list(both)
     return _pow[0], _pow[1]
 
 
