@@ -109,7 +109,7 @@ def within(docs: DataFrame, keys: DataFrame, by: list[Column]) -> DataFrame:
 def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column], work: Callable[..., list[pa.Array]], fields: str) -> DataFrame:
     """The ``keep`` columns beside those that work gives for the Arrow arrays of ``inputs``; fields: names and kinds of these as DDL.  Kept columns pass under other names, so theirs may be any."""
     k = len(keep)
-    slim = docs.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    slim = docs.select(*[named(c).alias(f"__kept{i}") for i, c in enumerate(keep)], *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
     more = StructType.fromDDL(fields).fields
     names = [*slim.columns[:k], *[f.name for f in more]]
 

@@ -15,19 +15,27 @@ differs by band, so two similar texts meet through many.  Afterwards every
 bucket that still holds several classes gets new pivots, round after round,
 until a round joins no classes; a link that joins two joins them as wholes.  In
 the buckets that hold several classes then, all pairs of different classes are
-tested: as pairs in those of up to ``PAIRED`` entries, in larger ones by tasks
-that hold the bags of two blocks of entries.
+tested: at once in those of up to ``PAIRED`` entries.  Larger ones are split by
+prefix filtering first: if two bags are as similar as that, what they share
+weighs that share of each, so the rarest shingle that they share stands among
+the rarest of each, before the last ``SIMILARITY`` of its weight.  Only entries
+that have such a shingle in common are tested, as pairs if they are few, else by
+tasks that hold the bags of two blocks of entries.
 Classes are the connected components of the links, found by label propagation
 with pointer jumping: in one task up to ``LOCAL_LINKS`` links, beyond that over
 all tasks and checkpoints, with the same result.
 
 The size of bands makes a pair of similarity 0.8 share none with probability
-6e-5.  Entries are 64-bit hashes of their words.
-
-Nulls: a text that is null or has no words is never a duplicate and is a class
-of its own.  A text of fewer than five words is one shingle.  A null id is the
-smallest.  Repeated rows are copies of each other.  Empty tables give empty
-results.
+6e-5.  Entries go by 64-bit hashes of their words; where those of two texts that
+differ agree, which a second hash tells, they get others.
+
+Defined results.  Nulls: a text that is null or has no words is never a
+duplicate and is a class of its own.  A null id is the smallest.  A text of fewer
+than five words is one shingle.  A very long text is one bag, whole.  Repeated
+rows are copies of each other; of those equal in id and text any one stays.
+Ties: the smallest id represents a class, of equal ids the smaller hash of id
+and text.  Clashing names: own columns stay, ``classes`` has its own alone.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,11 +48,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, materialised, order_hash, unused
+from .common import arrow_limits, materialised, named, order_hash, over_batches, row_key, unused, within, without
 from .textscan import WORD, Chunk, chunks, counted, mix64, ngrams, row_digest, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+_SECOND = np.uint64(0xA0761D6478BD642F)
 #: Registers kept as a byte each tell pairs that cannot be similar enough: at 0.8 less than this share agrees with probability 1e-7.
 LEAST_AGREEMENT = 0.65
 #: Pairs of two classes that are tested first, before all others whose classes still differ; up to FEW_PAIRS in all are tested at once.
@@ -59,12 +68,15 @@ BROADCAST_IDS = 1_000_000
 PAIRED, BLOCK = 32, 1000
 
 
-def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest of each row's words (0: none), and row, hash and count of its shingles."""
+def shingles(chunk: Chunk, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests of each row's words (0: none), the first of so many bits, and row, hash and count of its shingles."""
     s, e, off = chunk.words(WORD)
     h = chunk.hashes(s, e)
     g, r = ngrams(h, off, SHINGLE, whole_short=True)
-    return row_digest(h, off), *counted(r, g)
+    digest = row_digest(h, off)
+    if bits < 64:
+        digest = np.where(digest != 0, digest >> np.uint64(64 - bits) | np.uint64(1), digest)
+    return digest, row_digest(mix64(h ^ _SECOND), off), *counted(r, g)
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
@@ -122,48 +134,52 @@ def probability_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.n
     return float((a / (only_a + from_a[lower] + t * (only_b + from_b[lower]))).sum())
 
 
-def _kept_schema(df: DataFrame, n: int) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[:n])
+def signatures(docs: DataFrame, text: Column, keep: list[str], bits: int = 64) -> DataFrame:
+    """The ``keep`` columns, k and k2 (digests of the words; k null without words), the band keys and a byte of each register."""
 
+    def work(texts: pa.Array) -> list[pa.Array]:
+        first, second, bands, sizes, bytes_of = [], [], [], [], []
+        for chunk in chunks(texts):
+            digest, other, rows, keys, counts = shingles(chunk, bits)
+            first.append(digest)
+            second.append(other)
+            some = digest != 0
+            holder = prob_minhash(rows, keys, weights(counts), chunk.n_rows, BANDS * ROWS)
+            bands.append(band_keys(holder)[some].reshape(-1))
+            small = (mix64(holder) >> np.uint64(56)).astype(np.uint8)
+            bytes_of += [x.tobytes() if y else None for x, y in zip(small, some.tolist(), strict=True)]
+            sizes.append(np.where(some, BANDS, 0))
+        none = np.zeros(0, np.uint64)
+        digest = np.concatenate(first or [none])
+        off = np.append(0, np.cumsum(np.concatenate(sizes) if sizes else [])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(signed(np.concatenate(bands or [none]))))
+        return [pa.array(signed(digest), mask=digest == 0), pa.array(signed(np.concatenate(second or [none]))), lists, pa.array(bytes_of, pa.binary())]
 
-def signatures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, k (digest of the words; null without words), the band keys and a byte of each register."""
-    carried, n = docs.select(*keep, F.col(text_col).alias("__text")), len(keep)
+    return over_batches(docs, keep, [text], work, "k long, k2 long, bands array<long>, sig binary")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, bands, sizes, bytes_of = [], [], [], []
-            for chunk in chunks(batch.column(n)):
-                digest, rows, keys, counts = shingles(chunk)
-                digests.append(digest)
-                some = digest != 0
-                holder = prob_minhash(rows, keys, weights(counts), chunk.n_rows, BANDS * ROWS)
-                bands.append(band_keys(holder)[some].reshape(-1))
-                small = (mix64(holder) >> np.uint64(56)).astype(np.uint8)
-                bytes_of += [x.tobytes() if y else None for x, y in zip(small, some.tolist(), strict=True)]
-                sizes.append(np.where(some, BANDS, 0))
-            digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
-            off = np.append(0, np.cumsum(np.concatenate(sizes) if sizes else [])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(signed(np.concatenate(bands) if bands else np.zeros(0, np.uint64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(signed(digest), mask=digest == 0), lists, pa.array(bytes_of, pa.binary())], names=[*keep, "k", "bands", "sig"])
-
-    return carried.mapInArrow(work, _kept_schema(carried, n) + "k long, bands array<long>, sig binary")
-
-
-def bags(docs: DataFrame, text_col: str) -> DataFrame:
-    """(k, bag): the shingles of every text with words, as bytes: sorted hashes, then counts."""
+
+def bags(docs: DataFrame, text: Column, bits: int = 64) -> DataFrame:
+    """(k, k2, bag): the shingles of every text with words, as bytes: sorted hashes, then counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(0), 4 << 20):
-                digest, rows, keys, counts = shingles(chunk)
+            for chunk in chunks(batch.column(0)):
+                digest, other, rows, keys, counts = shingles(chunk, bits)
                 counts = counts.astype(np.uint32)
                 cut = np.searchsorted(rows, np.arange(chunk.n_rows + 1))
                 some = np.flatnonzero(digest)
                 blobs = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(cut[some], cut[some + 1], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(digest[some])), pa.array(blobs, pa.binary())], names=["k", "bag"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(digest[some])), pa.array(signed(other[some])), pa.array(blobs, pa.binary())], names=["k", "k2", "bag"])
+
+    return docs.select(text.alias("text")).mapInArrow(work, "k long, k2 long, bag binary")
 
-    return docs.select(text_col).mapInArrow(work, "k long, bag binary")
+
+def told_apart(df: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """Another k where that of several texts is the same."""
+    if clash is None:
+        return df
+    both = df.join(clash.withColumn("shared", F.lit(True)), "k", "left")
+    return both.withColumn("k", F.when(F.col("shared"), F.xxhash64("k", "k2")).otherwise(F.col("k"))).select(*df.columns)
 
 
 BAG_BYTES = 12
@@ -283,7 +299,24 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
-def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | None:
+def rare_prefixes(entries: DataFrame, held: DataFrame) -> DataFrame:
+    """(k, b): for every entry k those of its shingles, as b, that come first by rarity among the entries, before the last ``SIMILARITY`` of its weight, and that another entry has too."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, bag in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, w = opened_bag(bag.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(signed(h)), pa.array(w)], names=["k", "b", "w"])
+
+    every = entries.join(held, "k").select("k", "bag").mapInArrow(spread, "k long, b long, w double")
+    met = materialised(every.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
+    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+    by_rarity = Window.partitionBy("k").orderBy(F.coalesce("n", F.lit(1)), "b").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = every.join(met, "b", "left").withColumn("before", F.coalesce(F.sum("w").over(by_rarity), F.lit(0.0))).withColumn("total", F.sum("w").over(Window.partitionBy("k")))
+    return ranked.where((F.col("total") - F.col("before") >= SIMILARITY * (1 - 1e-9) * F.col("total")) & (F.col("n") > 1)).select("k", "b")
+
+
+def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame | None = None, bits: int = 64) -> DataFrame | None:
     """(k, c): the class of every entry that is linked to another; entries: (k, bands, sig), once each.  None: no bucket holds two."""
     spread = entries.select("k", F.explode("bands").alias("b"))
     # xor with the bucket orders its entries, differently in each bucket, and gives them back
@@ -296,7 +329,7 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
     needed = materialised(packed(member.select("k").distinct(), size))
     count = needed.count()
     of_needed = F.broadcast(needed) if count <= BROADCAST_IDS else needed
-    held = packed(materialised(bags(docs, text_col).join(of_needed, "k", "left_semi").dropDuplicates(["k"])), ROWS_A_BAG * count)
+    held = packed(materialised(told_apart(bags(docs, text, bits), clash).join(of_needed, "k", "left_semi").select("k", "bag").dropDuplicates(["k"])), ROWS_A_BAG * count)
     sigs = packed(materialised(entries.select("k", "sig").join(of_needed, "k", "left_semi")), size)
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -314,39 +347,56 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         """Labels after the test of all pairs of different classes in the buckets of now: (k, b, c)."""
         sizes = materialised(packed(now.groupBy("b").agg(F.count("*").alias("m")).where("m > 2"), size))  # of two, one was the pivot
         rows = materialised(packed(now.join(sizes, "b"), size))
-        small = rows.where(F.col("m") <= PAIRED).select("b", "k", "c")
-        both = small.join(small.toDF("b", "p", "d"), "b").where("k < p AND c <> d")
-        label, _ = settled(label, materialised(both.select("k", "p").distinct().join(done, ["k", "p"], "left_anti")))
+        label = paired(label, rows.where(F.col("m") <= PAIRED), done)
+        large = rows.where(F.col("m") > PAIRED).select("k").distinct()
+        if large.isEmpty():
+            return label
+        split = classed(materialised(rare_prefixes(large, held)), label)
+        mixed = split.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("b", "m")
+        rows = materialised(split.join(materialised(mixed), "b"))
+        label = paired(label, rows.where(F.col("m") <= PAIRED), done)
         large = rows.where(F.col("m") > PAIRED).select("b", "k", "m")
         if large.isEmpty():
             return label
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        large = large.join(label, "k", "left").select("b", "k", F.coalesce("c", "k").alias("c"), blocks.alias("g"))
+        large = classed(large, label).select("b", "k", "c", blocks.alias("g"))
         large = large.withColumn("own", F.pmod(order_hash("k", seed="block"), F.col("g")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
         large = large.select("b", "k", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         new = large.join(held, "k").select("b", "i", "j", "own", "c", "bag").groupBy("b", "i", "j").applyInArrow(_similar_across, "k long, p long")
         new = materialised(new.distinct())
         return label if new.isEmpty() else grown(label, new)
 
+    def classed(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """Entries without a link are a class each."""
+        return rows.join(label, "k", "left").withColumn("c", F.coalesce("c", "k"))
+
+    def paired(label: DataFrame, rows: DataFrame, done: DataFrame) -> DataFrame:
+        """Labels after the test of all pairs of rows (b, k, c) of one b and different classes."""
+        small = rows.select("b", "k", "c")
+        both = small.join(small.toDF("b", "p", "d"), "b").where("k < p AND c <> d")
+        return settled(label, materialised(both.select("k", "p").distinct().join(done, ["k", "p"], "left_anti")))[0]
+
     def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
         """Labels after the test of all pairs (k, p) of different classes, and whether any joined.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
         joined = False
         for most in (FIRST_PAIRS, None):
-            named = pairs.join(label.toDF("k", "ck"), "k", "left").join(label.toDF("p", "cp"), "p", "left")
-            apart = named.select("k", "p", F.coalesce("ck", "k").alias("ck"), F.coalesce("cp", "p").alias("cp")).where("ck <> cp")
-            between = Window.partitionBy(F.least("ck", "cp"), F.greatest("ck", "cp")).orderBy(order_hash("k", "p", seed="pair"))
-            ranked = materialised(packed(apart.withColumn("at", F.row_number().over(between)), size))
-            count = ranked.count()
+            apart = pairs.join(label.toDF("k", "ck"), "k", "left").join(label.toDF("p", "cp"), "p", "left")
+            apart = apart.select("k", "p", F.coalesce("ck", "k").alias("ck"), F.coalesce("cp", "p").alias("cp")).where("ck <> cp")
+            apart = materialised(packed(apart, size))
+            count = apart.count()
             if not count:
                 break
-            most = most if count > FEW_PAIRS else None
-            new = tested(ranked.where(F.col("at") <= most) if most else ranked).join(ranked, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p"))
+            every = most is None or count <= FEW_PAIRS
+            # the least of each of some orders
+            picks = [F.min(F.struct(order_hash("k", "p", seed=f"pair {i}").alias("h"), "k", "p", "ck", "cp")).alias(f"x{i}") for i in range(most or 0)]
+            chosen = apart if every else materialised(apart.groupBy(F.least("ck", "cp").alias("lo"), F.greatest("ck", "cp").alias("hi")).agg(*picks).select(F.explode(F.array(*[f"x{i}" for i in range(len(picks))])).alias("x")).select("x.k", "x.p", "x.ck", "x.cp").distinct())
+            new = tested(chosen).join(chosen, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p"))
             new = materialised(packed(new, count))
             if not new.isEmpty():
                 label, joined = grown(label, new), True
-            if most is None:
+            if every:
                 break
-            pairs = ranked.where(F.col("at") > most).select("k", "p")
+            pairs = apart.select("k", "p").join(chosen.select("k", "p"), ["k", "p"], "left_anti")
         return label, joined
 
     pairs = member.where("k <> p").groupBy("k", "p").agg(F.count("*").alias("n"))
@@ -358,8 +408,7 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
     done, member, turn = materialised(packed(ranked.select(*either_way).distinct(), size)), member.select("k", "b"), 0
     while True:
         turn += 1
-        # entries without a link are a class each
-        now = member.join(label, "k", "left").select("k", "b", F.coalesce("c", "k").alias("c"))
+        now = classed(member, label).select("k", "b", "c")
         pick = F.min(F.struct(order_hash("k", "b", seed=f"turn {turn}").alias("h"), "k", "c"))
         mixed = now.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick.alias("x")).where("lo <> hi").select("b", F.col("x.k").alias("p"), F.col("x.c").alias("d"))
         # only the buckets of several classes go on
@@ -372,37 +421,43 @@ def links(docs: DataFrame, entries: DataFrame, text_col: str) -> DataFrame | Non
         member = now.select("k", "b")
 
 
-def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Id, th (hash of the text), class_id (smallest id of the class), class_size and kept (of the rows of a class those that equal its first in id and text) of every row."""
+def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", bits: int = 64) -> DataFrame:
+    """Id, a and b (the key of id and text), class_id (smallest id of the class), class_size and kept (of the rows of a class those that equal its first in id and text) of every row.  bits: of the hashes that entries go by."""
     arrow_limits(docs.sparkSession)
-    ident = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = materialised(signatures(ident, "text", ["id", "th"]))
+    text = named(text_col)
+    a, b = row_key(named(id_col), text)
+    ident = docs.select(named(id_col).alias("id"), a.alias("a"), b.alias("b"), text.alias("text"))
+    rows = materialised(signatures(ident, F.col("text"), ["id", "a", "b"], bits))
+    clash = materialised(rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo <> hi").select("k"))
+    clash = None if clash.isEmpty() else clash
+    rows = told_apart(rows, clash)
     some = rows.where(F.col("k").isNotNull())
-    least = materialised(some.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n")))
-    linked = links(docs, materialised(some.select("k", "bands", "sig").dropDuplicates(["k"])), text_col)
+    least = materialised(some.groupBy("k").agg(F.min(F.struct("id", "a", "b")).alias("rep"), F.count("*").alias("n")))
+    linked = links(docs, materialised(some.select("k", "bands", "sig").dropDuplicates(["k"])), text, clash, bits)
     if linked is None:
         table = least
     else:
-        named = least.join(linked, "k")
-        of = named.groupBy("c").agg(F.min("rep").alias("rep2"), F.sum("n").alias("n2"))
+        known = least.join(linked, "k")
+        of = known.groupBy("c").agg(F.min("rep").alias("rep2"), F.sum("n").alias("n2"))
         both = linked.join(of, "c").select("k", "rep2", "n2")
         table = least.join(both, "k", "left").select("k", F.coalesce("rep2", "rep").alias("rep"), F.coalesce("n2", "n").alias("n"))
-    out = rows.select("id", "th", "k").join(materialised(table), "k", "left")
-    first: Column = F.col("k").isNull() | (F.col("id").eqNullSafe(F.col("rep.id")) & F.col("th").eqNullSafe(F.col("rep.th")))
-    return out.select("id", "th", F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("rep.id")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), first.alias("kept"), F.col("k").isNull().alias("wordless"))
+    out = rows.select("id", "a", "b", "k").join(materialised(table), "k", "left")
+    first: Column = F.col("k").isNull() | (F.col("a").eqNullSafe(F.col("rep.a")) & F.col("b").eqNullSafe(F.col("rep.b")))
+    return out.select("id", "a", "b", F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("rep.id")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), first.alias("kept"), F.col("k").isNull().alias("wordless"))
 
 
 def deduplicated(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each class, with all columns."""
-    th, key, n = (unused(docs, x) for x in ("th", "kept_id", "kept_n"))
-    stay = classes(docs, text_col=text_col, id_col=id_col).where("kept").groupBy(F.col("id").alias(key), F.col("th").alias(th)).agg(F.max(F.when(F.col("wordless"), F.lit(0)).otherwise(F.lit(1))).alias("w"), F.count("*").alias("c"))
-    stay = materialised(stay.select(key, th, (F.col("w") * (F.col("c") - 1)).alias(n)))
-    marked = docs.withColumn(th, F.xxhash64(text_col))
-    joined = marked.join(stay.withColumnRenamed(th, th + "2"), F.col(id_col).eqNullSafe(F.col(key)) & (F.col(th) == F.col(th + "2")))
-    if stay.where(F.col(n) > 0).isEmpty():
-        return joined.select(*docs.columns)
-    once = joined.where(F.col(n) > 0).dropDuplicates([key, th])
-    return joined.where(F.col(n) == 0).select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One row of each class, with all columns.  Only keys of the rows that go travel."""
+    keys = row_key(named(id_col), named(text_col))
+    found = materialised(classes(docs, text_col=text_col, id_col=id_col).select("a", "b", "kept", "wordless"))
+    stay = without(docs, found.where(~F.col("kept")).select("a", "b"), keys)
+    # rows of one id and text all equal their first
+    again = materialised(found.where(F.col("kept") & ~F.col("wordless")).groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"))
+    if again.isEmpty():
+        return stay
+    names = [unused(docs, x) for x in ("key_of_row", "key_of_row_too")]
+    once = within(stay, again, keys).select("*", *[c.alias(n) for c, n in zip(keys, names, strict=True)]).dropDuplicates(names)
+    return without(stay, again, keys).unionByName(once.select(*[named(c) for c in docs.columns]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -45,9 +45,11 @@ def brute_classes(texts):
     return groups.values()
 
 
-def test_classes_are_those_of_brute_force(spark, texts):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_classes_are_those_of_brute_force(spark, texts, bits):
+    """Also where the hashes of unlike texts agree."""
     # the place of a row is its id here, so that ids are unique
-    found = neardup.classes(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    found = neardup.classes(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3), bits=bits).collect()
     groups = defaultdict(set)
     for r in found:
         groups[r.class_id].add(r.id)
@@ -98,9 +100,10 @@ def test_registers_estimate_the_similarity():
     assert abs(exact - similarity({k: weigh[k] for k in x.tolist()}, {k: weigh[k] for k in y.tolist()})) < 1e-9
 
 
-@pytest.mark.parametrize("paired", [1000, 32])
-def test_a_family_below_the_threshold_hides_no_pairs(spark, monkeypatch, paired):
+@pytest.mark.parametrize(("paired", "few"), [(1000, 20_000), (32, 20_000), (1, 0)])
+def test_a_family_below_the_threshold_hides_no_pairs(spark, monkeypatch, paired, few):
     monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "FEW_PAIRS", few)
     monkeypatch.setattr(neardup, "BLOCK", 40)
     base = " ".join(f"w{i}" for i in range(200))
     # two texts of the family are 196 / 254 alike, those of a planted pair 206 / 244
@@ -113,7 +116,7 @@ def test_a_family_below_the_threshold_hides_no_pairs(spark, monkeypatch, paired)
 
 
 def test_bags_hold_large_counts(spark):
-    held = neardup.bags(spark.createDataFrame([("a " * 70_004,)], "text string"), "text").first().bag
+    held = neardup.bags(spark.createDataFrame([("a " * 70_004,)], "text string"), F.col("text")).first().bag
     assert np.allclose(neardup.opened_bag(held)[1], [1 + math.log(70_000)])
 
 
@@ -122,3 +125,27 @@ def test_large_group_stays_linear(spark):
     rows = [(i, base + f" v{i}") for i in range(300)]
     out = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.countDistinct("class_id"), F.max("class_size")).first()
     assert tuple(out) == (1, 300)
+
+
+def test_every_similar_pair_shares_a_rare_shingle():
+    """The prefix rule itself: pairs at the threshold or above have a shingle in common among the rarest of each."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.integers(1, 5)):
+            t[rng.integers(0, 120)] = f"x{rng.integers(0, 30)}"
+        texts.append(" ".join(t))
+    bags_ = [bag(t)[1] for t in texts]
+    count = Counter(g for b in bags_ for g in b)
+    prefixes = []
+    for b in bags_:
+        total, before, some = sum(b.values()), 0.0, set()
+        for g in sorted(b, key=lambda g: (count[g], g)):
+            if total - before >= 0.8 * total:
+                some.add(g)
+            before += b[g]
+        prefixes.append(some)
+    pairs = [(i, j) for i in range(60) for j in range(i) if similarity(bags_[i], bags_[j]) >= 0.8]
+    assert len(pairs) > 50 and all(prefixes[i] & prefixes[j] for i, j in pairs)
