@@ -13,7 +13,7 @@ byte of each register first, and a link counts only if the exact similarity is
 Equal texts (in words) are one entry from the start.  The pivot of a bucket
 differs by band, so two similar texts meet through many.  Afterwards every
 bucket that still holds several classes gets new pivots, round after round,
-until a round joins no classes; a link that joins two joins them as wholes.  In
+until a round joins next to none; a link that joins two joins them as wholes.  In
 the buckets that hold several classes then, all pairs of different classes are
 tested: at once in those of up to ``PAIRED`` entries.  Larger ones are split by
 prefix filtering first: if two bags are as similar as that, what they share
@@ -64,8 +64,10 @@ ROWS_A_TASK, ROWS_A_BAG = 50_000, 20
 LOCAL_LINKS = 1_000_000
 #: Ids of texts to compare up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Share of the mixed buckets; rounds that join fewer classes than this end them, as testing all that is left costs less.
+FEW_JOINS = 0.01
 #: Entries of a bucket up to which its last pairs are rows; beyond, blocks of BLOCK entries on average are compared as wholes.
-PAIRED, BLOCK = 32, 1000
+PAIRED, BLOCK = 32, 300
 
 
 def shingles(chunk: Chunk, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +193,8 @@ def opened_bag(x: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(x, np.uint64, n), weights(np.frombuffer(x, np.uint32, n, 8 * n))
 
 
-def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Those (k, p) in which enough registers agree."""
+def agreeing(pairs: DataFrame, sigs: DataFrame, count: int) -> DataFrame:
+    """Those (k, p) in which enough registers agree; count: of the pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,11 +202,11 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT if batch.num_rows else np.zeros(0, bool)))
 
     both = pairs.select("k", "p").join(sigs, "k").join(sigs.toDF("p", "sig_p"), "p")
-    return both.select("k", "p", "sig", "sig_p").mapInArrow(work, "k long, p long")
+    return packed(both.select("k", "p", "sig", "sig_p"), count).mapInArrow(work, "k long, p long")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Those (k, p) whose exact similarity is high enough."""
+def verified(pairs: DataFrame, held: DataFrame, count: int) -> DataFrame:
+    """Those (k, p) whose exact similarity is high enough; count: of the pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 ok[i] = probability_jaccard(*opened_bag(x.as_buffer()), *right) >= SIMILARITY - 1e-9
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array(ok))
 
-    few = pairs.count() <= BROADCAST_IDS
+    few = count <= BROADCAST_IDS
 
     def bags_of(end: str) -> DataFrame:
         """Only the bags that are compared travel."""
@@ -225,7 +227,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
     with_k = pairs.join(bags_of("k"), "k")
     both = with_k.withColumnRenamed("bag", "bag_k").join(bags_of("p").toDF("p", "bag_p"), "p")
-    return both.select("k", "p", "bag_k", "bag_p").mapInArrow(work, "k long, p long")
+    return packed(both.select("k", "p", "bag_k", "bag_p"), ROWS_A_BAG * count).mapInArrow(work, "k long, p long")
 
 
 def _similar_across(key: tuple, table: pa.Table) -> pa.Table:
@@ -295,7 +297,7 @@ def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
 
 
 def packed(df: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` slim rows in as many tasks as they need: small rounds write few files, large ones lose no parallelism."""
+    """At most ``rows`` slim rows in as many tasks as they need: small rounds write few files and call Python few times, large ones lose no parallelism."""
     return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
@@ -333,9 +335,9 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
     sigs = packed(materialised(entries.select("k", "sig").join(of_needed, "k", "left_semi")), size)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        count = pairs.count()
-        near = materialised(packed(agreeing(pairs, sigs), count))
-        return packed(materialised(packed(verified(near, held), ROWS_A_BAG * near.count())), count)
+        near = materialised(agreeing(pairs, sigs, pairs.count()))
+        count = near.count()
+        return packed(materialised(verified(near, held, count)), count)
 
     def grown(label: DataFrame, new: DataFrame) -> DataFrame:
         """Labels after links of classes, which join as wholes."""
@@ -352,7 +354,9 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
         if large.isEmpty():
             return label
         split = classed(materialised(rare_prefixes(large, held)), label)
-        mixed = split.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("b", "m")
+        # shingles that the same entries share are one
+        alike = [F.bit_xor(order_hash("k", seed=x)).alias(x) for x in ("one", "two")]
+        mixed = split.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), *alike).where("lo <> hi").groupBy("m", "one", "two").agg(F.min("b").alias("b")).select("b", "m")
         rows = materialised(split.join(materialised(mixed), "b"))
         label = paired(label, rows.where(F.col("m") <= PAIRED), done)
         large = rows.where(F.col("m") > PAIRED).select("b", "k", "m")
@@ -376,9 +380,9 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
         both = small.join(small.toDF("b", "p", "d"), "b").where("k < p AND c <> d")
         return settled(label, materialised(both.select("k", "p").distinct().join(done, ["k", "p"], "left_anti")))[0]
 
-    def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """Labels after the test of all pairs (k, p) of different classes, and whether any joined.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
-        joined = False
+    def settled(label: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Labels after the test of all pairs (k, p) of different classes, and how many links joined some.  Of two classes only some pairs are tested at once, as one link makes the others needless."""
+        joined = 0
         for most in (FIRST_PAIRS, None):
             apart = pairs.join(label.toDF("k", "ck"), "k", "left").join(label.toDF("p", "cp"), "p", "left")
             apart = apart.select("k", "p", F.coalesce("ck", "k").alias("ck"), F.coalesce("cp", "p").alias("cp")).where("ck <> cp")
@@ -392,8 +396,9 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
             chosen = apart if every else materialised(apart.groupBy(F.least("ck", "cp").alias("lo"), F.greatest("ck", "cp").alias("hi")).agg(*picks).select(F.explode(F.array(*[f"x{i}" for i in range(len(picks))])).alias("x")).select("x.k", "x.p", "x.ck", "x.cp").distinct())
             new = tested(chosen).join(chosen, ["k", "p"]).select(F.col("ck").alias("k"), F.col("cp").alias("p"))
             new = materialised(packed(new, count))
-            if not new.isEmpty():
-                label, joined = grown(label, new), True
+            met = new.count()
+            if met:
+                label, joined = grown(label, new), joined + met
             if every:
                 break
             pairs = apart.select("k", "p").join(chosen.select("k", "p"), ["k", "p"], "left_anti")
@@ -412,10 +417,11 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
         pick = F.min(F.struct(order_hash("k", "b", seed=f"turn {turn}").alias("h"), "k", "c"))
         mixed = now.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick.alias("x")).where("lo <> hi").select("b", F.col("x.k").alias("p"), F.col("x.c").alias("d"))
         # only the buckets of several classes go on
-        now = materialised(packed(now.join(materialised(packed(mixed, size)), "b"), size))
+        mixed = materialised(packed(mixed, size))
+        now = materialised(packed(now.join(mixed, "b"), size))
         more = materialised(packed(now.where("c <> d").select(*either_way).distinct().join(done, ["k", "p"], "left_anti"), size))
         label, joined = settled(label, more)
-        if not joined:
+        if joined <= FEW_JOINS * mixed.count():
             return exhausted(label, now, done.unionByName(more))
         done = materialised(packed(done.unionByName(more), size))
         member = now.select("k", "b")
