@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialised, named, order_hash, own_columns, packed_rows, unused
+from .common import freed, materialised, named, order_hash, own_columns, packed_rows, unused
 
 CAP = 3
 MAX_STEPS, STEPS_A_CHECK, TOLERANCE, FIXES = 60, 6, 1e-9, 4
@@ -125,6 +125,7 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     sources = materialised(weighted_targets(of_source).withColumn("mean_size", F.col("source_size") / F.col("docs")).select("skey", "source_size", "target", "mean_size"))
     solved = solve_dual(strata, sources)
     copies = stratum_copies(strata, solved)
+    freed(docs.sparkSession)
     by_part = Window.partitionBy("skey", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     share = (
         parts.join(sources.drop("mean_size"), "skey")

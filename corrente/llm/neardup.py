@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, materialised, named, order_hash, over_batches, row_key, unused, within, without
+from .common import arrow_limits, freed, materialised, named, order_hash, over_batches, row_key, unused, within, without
 from .textscan import WORD, Chunk, chunks, counted, mix64, ngrams, row_digest, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -436,10 +436,12 @@ def classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     rows = materialised(signatures(ident, F.col("text"), ["id", "a", "b"], bits))
     clash = materialised(rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo <> hi").select("k"))
     clash = None if clash.isEmpty() else clash
+    freed(docs.sparkSession)
     rows = told_apart(rows, clash)
     some = rows.where(F.col("k").isNotNull())
     least = materialised(some.groupBy("k").agg(F.min(F.struct("id", "a", "b")).alias("rep"), F.count("*").alias("n")))
     linked = links(docs, materialised(some.select("k", "bands", "sig").dropDuplicates(["k"])), text, clash, bits)
+    freed(docs.sparkSession)  # the rounds leave plans behind, too
     if linked is None:
         table = least
     else:
