@@ -1,6 +1,6 @@
 """Flow: lazy, composable operators over a DataFrame with a tracked order.
 
-Sequential and parallel streams are one type: an ordered flow has order keys, an
+Sequential and parallel sequences are one type: an ordered flow has order keys, an
 unordered one has none.  Operators that are defined by order need an ordered flow;
 take, skip and searches on an unordered one mean any elements.  Nothing runs until
 a sink or a value is asked for, and Catalyst plans the whole chain.

@@ -63,10 +63,10 @@ class Linq(Base):
     def as_unordered(self) -> Self:
         return self.unordered()
 
-    def as_stream(self, *keys: Any) -> Self:
+    def as_flow(self, *keys: Any) -> Self:
         return self.ordered(*keys)
 
-    def as_par_stream(self) -> Self:
+    def as_parallel_flow(self) -> Self:
         return self.unordered()
 
     def to_enumerable(self) -> Any:

@@ -33,7 +33,9 @@ class Aggregate(Base):
         return self.fold_ordered_df(folder, seed, **options).first()[0]
 
     def sum_df(self, f: Expression | str | None = None) -> DataFrame:
-        """0 for an empty flow; an overflow is an error."""
+        """0 for an empty flow; an overflow is an error.  Without f the flow must have one column."""
+        if f is None and len(self.columns) != 1:
+            raise ValueError(f"sum needs to know which of the columns {self.columns} to add up")
         x = column(f or self.columns[0], self.row)
         return self.df.agg(F.coalesce(F.sum(x), F.lit(0)).alias("value"))
 

@@ -91,7 +91,7 @@ class Custom(Base):
         return collector.result(collector.init()) if found is None else pickle_loads(found[0])
 
     def fold_py(self, folder: Callable[[Any, Any], Any], seed: Any) -> Any:
-        """folder(state, element) in the order; one task streams through sorted batches and keeps only the state.  An element of one column is its value, else a tuple."""
+        """folder(state, element) in the order; one task reads sorted batches and keeps only the state.  An element of one column is its value, else a tuple."""
         names = self.columns
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ class Custom(Base):
         return type(self)(first.unionByName(self._one_sorted_task().mapInArrow(work, full)), (True,))
 
     def fold_by_py(self, key: Expression, folder: Callable[[Any, Any], Any], init: Callable[[], Any], kind: str) -> Self:
-        """Columns key and value: folder(state, element) over each key's elements in their order.  Keys are dealt out and sorted with the order behind them, so a task streams through a key, however many elements it has."""
+        """Columns key and value: folder(state, element) over each key's elements in their order.  Keys are dealt out and sorted with the order behind them, so a task reads a key one element after another, however many elements it has."""
         names, k = self.columns, column(key, self.row)
         rows = self.frame.withColumn("__key", k)
         rows = rows.repartition("__key").sortWithinPartitions(F.col("__key").asc_nulls_first(), *self._order())

@@ -31,7 +31,7 @@ class Keyed(Aggregate):
         return self._keyed(key, [column(f, self.row).alias(name) for name, f in folds.items()])
 
     def fold_by_ordered(self, key: Expression, folder: Expression, seed: Any) -> Self:
-        """Columns key and value: folder(state, element) over the elements of each key in their order.  The elements of a key meet in one array; ``fold_by_py`` streams through them."""
+        """Columns key and value: folder(state, element) over the elements of each key in their order.  The elements of a key meet in one array; ``fold_by_py`` reads them one by one."""
         self._needs_order("fold_by_ordered")
         folded = F.aggregate(self._collected(F.lit(True)), column(seed), lambda s, x: column(folder, s, _Element(self.columns, x)))
         return self._keyed(key, [folded.alias("value")])

@@ -32,13 +32,20 @@ class Positional(Aggregate):
         return [] if keep is None else [column(v, self.row).alias(k) for k, v in keep(self.row).items()]
 
     def scan_fold(self, folder: Expression, seed: Any) -> Self:
-        """As scan, for any folder(state, element) of Columns; all elements meet in one array.  ``scan_py`` keeps only the state."""
+        """As scan, for any folder(state, element) of Columns; all elements meet in one array.  They are folded in blocks of about the square root of their number, then every block is scanned by itself from the state before it.  ``scan_py`` keeps only the state."""
         self._needs_order("scan_fold")
-        state = column(seed)
-        items = self._collected(F.lit(True))
-        steps = F.aggregate(items, F.array(state), lambda s, x: F.concat(s, F.array(column(folder, F.element_at(s, -1), _Element(self.columns, x)))))
-        out = self.frame.agg(steps.alias("all")).select(F.posexplode("all").alias(f"{HIDDEN}0", "value"))
-        return type(self)(out, (True,))
+        step = lambda s, x: column(folder, s, _Element(self.columns, x))
+        append = lambda s, x: F.concat(s, F.array(x))
+        all_of = self.frame.agg(self._collected(F.lit(True)).alias("items")).withColumn("b", F.greatest(F.ceil(F.sqrt(F.size("items"))), F.lit(1)).cast("int"))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("items") / F.col("b")) - 1, F.lit(0)).cast("int")), lambda i: F.slice("items", i * F.col("b") + 1, F.col("b")))
+        blocks = all_of.select("b", every.alias("blocks"))
+        starts = F.aggregate("blocks", F.array(column(seed)), lambda s, block: append(s, F.aggregate(block, F.element_at(s, -1), step)))
+        one = blocks.select("b", F.posexplode(F.arrays_zip("blocks", F.slice(starts, 1, F.size("blocks")).alias("starts"))).alias("i", "x"))
+        states = F.aggregate("x.blocks", F.array(F.col("x.starts")), lambda s, x: append(s, step(F.element_at(s, -1), x)))
+        # only the first block's start is an element of its own
+        own = one.withColumn("states", states).select("b", "i", F.when(F.col("i") == 0, F.col("states")).otherwise(F.slice("states", 2, F.size("states"))).alias("states"))
+        out = own.select("b", "i", F.posexplode("states").alias("at", "value"))
+        return type(self)(out.select((F.col("i").cast("long") * (F.col("b") + 1) + F.col("at")).alias(f"{HIDDEN}0"), "value"), (True,))
 
     def _with_group(self, p: Expression, small: int | None) -> DataFrame:
         self._needs_order("group_until")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +14,7 @@ from . import sources as S
 from .flow import Flow
 from .functions import custom
 from .operators.custom import Collector
+from .plans.durable import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -410,8 +411,7 @@ def generate_infinite_take(spark: SparkSession, d: str) -> DataFrame:
 @_query("of_text_lines", "select cast(row_number() over (order by o_orderkey) - 1 as bigint) line, 'This is file entry #' || o_orderkey as value from orders")
 def of_text_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines written and read again, with their numbers."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/corrente-lines-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corrente-lines-{uuid.uuid4().hex}"
     _orders(spark, d).map(lambda r: F.concat(F.lit("This is file entry #"), r.o_orderkey.cast("string"))).write_text_lines(path)
     return S.of_text_file_by_line(spark, path).mapi(lambda i, r: {"line": i, "value": r.value}).df
 
@@ -431,6 +431,194 @@ def unordered(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).unordered().fold_df(n=lambda r: F.count("*"), total=lambda r: F.sum(r.o_orderkey))
 
 
+# sources of rows in memory, and sinks read back; nation and region have as many rows at any scale
+
+
+@_query("empty", "select n_nationkey as k from nation where false")
+def empty(spark: SparkSession, d: str) -> DataFrame:
+    return S.empty(spark, "k int").df
+
+
+@_query("singleton", "select 42 as value")
+def singleton(spark: SparkSession, d: str) -> DataFrame:
+    return S.singleton(spark, 42, "int").df
+
+
+_NUMBERS = [3, -1, None, 4, 1, -5, 9]
+_NUMBERS_SQL = "select cast(row_number() over () - 1 as bigint) as place, value from (values (3), (-1), (null), (4), (1), (-5), (9)) t(value)"
+_numbered = lambda flow: flow.mapi(lambda i, r: {"place": i, "value": r.value}).df
+
+
+@_query("of_array", _NUMBERS_SQL)
+def of_array(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(S.of_rows(spark, tuple(_NUMBERS), "int"))
+
+
+@_query("of_list", _NUMBERS_SQL)
+def of_list(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(S.of_rows(spark, list(_NUMBERS), "int"))
+
+
+@_query("of_resize_array", _NUMBERS_SQL)
+def of_resize_array(spark: SparkSession, d: str) -> DataFrame:
+    """A list that grew."""
+    rows: list[int | None] = []
+    for x in _NUMBERS:
+        rows.append(x)
+    return _numbered(S.of_rows(spark, rows, "int"))
+
+
+@_query("of_seq", _NUMBERS_SQL)
+def of_seq(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(S.of_seq(spark, (x for x in _NUMBERS), "int"))
+
+
+@_query("of_list_unordered", "select sum(value)::bigint as total, count(*) n from (values (3), (-1), (null), (4), (1), (-5), (9)) t(value)")
+def of_list_unordered(spark: SparkSession, d: str) -> DataFrame:
+    return S.of_rows(spark, list(_NUMBERS), "int").unordered().fold_df(total=lambda r: F.sum(r.value), n=lambda r: F.count("*"))
+
+
+@_query("of_resize_array_unordered", "select value as key, count(*) as count from (values (3), (3), (1)) t(value) group by all")
+def of_resize_array_unordered(spark: SparkSession, d: str) -> DataFrame:
+    return S.of_rows(spark, [3, 3, 1], "int").unordered().count_by(lambda r: r.value).df
+
+
+@_query("of_stream_lines", "select cast(row_number() over () - 1 as bigint) as place, value from (values ('one'), (''), ('three'), ('four')) t(value)")
+def of_stream_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All three ends of lines."""
+    return _numbered(S.of_stream_by_line(spark, io.BytesIO(b"one\n\rthree\r\nfour\n")))
+
+
+@_query("as_flow", "select cast(row_number() over (order by n_nationkey) - 1 as bigint) as place, n_name as value from nation")
+def as_flow(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(_table("nation", "n_nationkey")(spark, d).unordered().as_flow("n_nationkey").map(lambda r: {"value": r.n_name}))
+
+
+@_query("as_parallel_flow", "select count(*) as value from nation")
+def as_parallel_flow(spark: SparkSession, d: str) -> DataFrame:
+    return _table("nation", "n_nationkey")(spark, d).as_parallel_flow().length_df()
+
+
+@_query("read_whole_text", "select string_agg('This is file entry #' || n_nationkey || chr(10), '' order by n_nationkey) as value from nation")
+def read_whole_text(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/corrente-text-{uuid.uuid4().hex}"
+    lines = _table("nation", "n_nationkey")(spark, d).map(lambda r: F.concat(F.lit("This is file entry #"), r.n_nationkey.cast("string")))
+    lines.with_degree_of_parallelism(1).write_text_lines(path)
+    return S.read_all_text(spark, path).df
+
+
+_NATIONS = "select n_nationkey, n_name from nation"
+_nations = lambda spark, d: _table("nation", "n_nationkey")(spark, d).map(lambda r: {"n_nationkey": r.n_nationkey, "n_name": r.n_name})
+_again = lambda spark, rows: S.of_rows(spark, [tuple(r) for r in rows], "n_nationkey int, n_name string").df
+
+
+@_query("to_array", _NATIONS)
+def to_array(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).to_array())
+
+
+@_query("to_resize_array", _NATIONS)
+def to_resize_array(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).to_resize_array())
+
+
+@_query("to_list", _NATIONS)
+def to_list(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).to_list())
+
+
+@_query("to_seq", _NATIONS)
+def to_seq(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).to_seq())
+
+
+@_query("to_enumerable", _NATIONS)
+def to_enumerable(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).to_enumerable())
+
+
+@_query("to_array_unordered", _NATIONS)
+def to_array_unordered(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).unordered().to_array())
+
+
+@_query("to_seq_unordered", _NATIONS)
+def to_seq_unordered(spark: SparkSession, d: str) -> DataFrame:
+    return _again(spark, _nations(spark, d).unordered().to_seq())
+
+
+@_query("iter", _NATIONS)
+def iterate(spark: SparkSession, d: str) -> DataFrame:
+    seen: list = []
+    _nations(spark, d).iter(seen.append)
+    return _again(spark, seen)
+
+
+@_query("iter_unordered", "select count(*) n, sum(n_nationkey)::bigint total from nation")
+def iter_unordered(spark: SparkSession, d: str) -> DataFrame:
+    """On the executors, which count as accumulators do."""
+    sc = spark.sparkContext
+    n, total = sc.accumulator(0), sc.accumulator(0)
+
+    def see(r) -> None:  # noqa: ANN001
+        n.add(1)
+        total.add(r.n_nationkey)
+
+    _nations(spark, d).unordered().iter(see)
+    return S.of_rows(spark, [(n.value, total.value)], "n long, total long").df
+
+
+@_query("to_string", "select 'Flow(n_nationkey, n_name; ordered by 1 keys)' as value union all select 'Flow(n_nationkey, n_name; unordered)'")
+def to_string(spark: SparkSession, d: str) -> DataFrame:
+    flow = _nations(spark, d)
+    return S.of_rows(spark, [str(flow), str(flow.unordered())], "string").df
+
+
+@_query("find", "select event_id, event_type from events where event_type = 'purchase' order by event_id limit 1")
+def find(spark: SparkSession, d: str) -> DataFrame:
+    found = _events(spark, d).map(lambda r: {"event_id": r.event_id, "event_type": r.event_type}).find(lambda r: r.event_type == "purchase")
+    return S.singleton(spark, tuple(found), "event_id long, event_type string").df
+
+
+@_query("pick", "select event_id * 10 as value from events where event_type = 'purchase' order by event_id limit 1")
+def pick(spark: SparkSession, d: str) -> DataFrame:
+    return S.singleton(spark, _events(spark, d).pick(lambda r: F.when(r.event_type == "purchase", r.event_id * 10))[0], "long").df
+
+
+@_query("first", "select o_orderkey as value from orders order by o_orderkey limit 1")
+def first(spark: SparkSession, d: str) -> DataFrame:
+    return S.singleton(spark, _orders(spark, d).first().o_orderkey, "long").df
+
+
+@_query("first_where", "select o_orderkey as value from orders where o_totalprice > 200000 order by o_orderkey limit 1")
+def first_where(spark: SparkSession, d: str) -> DataFrame:
+    return S.singleton(spark, _orders(spark, d).first(lambda r: r.o_totalprice > 200000).o_orderkey, "long").df
+
+
+@_query("ordered", "select o_orderkey, cast(row_number() over (order by o_custkey, o_orderkey) - 1 as bigint) as rank from orders")
+def ordered(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).unordered().ordered("o_custkey", "o_orderkey").mapi(_rank).df
+
+
+def _every_third(flow: Flow) -> Flow:
+    return flow.mapi(lambda i, r: {"i": i, "o_orderkey": r.o_orderkey}).filter(lambda r: r.i % 3 == 0).map(lambda r: {"o_orderkey": r.o_orderkey})
+
+
+@_query("own_operator", "select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 i from orders) where i % 3 = 0")
+def own_operator(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).transform(_every_third).df
+
+
+@_query("own_operator_unordered", "select distinct o_custkey from orders")
+def own_operator_unordered(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).map(lambda r: {"o_custkey": r.o_custkey}).unordered().with_frame(lambda df: df.distinct()).df
+
+
+@_query("distinct_keys", "select distinct event_type as key from events")
+def distinct_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).unordered().distinct_keys(lambda r: r.event_type)
+
+
 # user functions
 
 

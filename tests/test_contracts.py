@@ -1,4 +1,4 @@
-"""Errors, order, nulls and NaN, sources and sinks, user functions, streams."""
+"""Errors, order, nulls and NaN, sources and sinks, user functions, streaming."""
 
 import io
 
