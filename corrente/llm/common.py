@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import time
@@ -106,6 +107,14 @@ def within(docs: DataFrame, keys: DataFrame, by: list[Column]) -> DataFrame:
     return _joined(docs, keys, by, "left_semi")
 
 
+def give_back() -> None:
+    """At the end of a task in a Python worker, which lives on: memory that it does not hold any more goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column], work: Callable[..., list[pa.Array]], fields: str) -> DataFrame:
     """The ``keep`` columns beside those that work gives for the Arrow arrays of ``inputs``; fields: names and kinds of these as DDL.  Kept columns pass under other names, so theirs may be any."""
     k = len(keep)
@@ -116,6 +125,7 @@ def over_batches(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *work(*batch.columns[k:])], names=names)
+        give_back()
 
     out = slim.mapInArrow(run, StructType([*slim.schema.fields[:k], *more]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=False)], *[F.col(f.name).alias(added(keep, f.name)) for f in more])

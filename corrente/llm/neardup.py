@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_limits, freed, materialised, named, order_hash, over_batches, row_key, unused, within, without
+from .common import arrow_limits, freed, give_back, materialised, named, order_hash, over_batches, row_key, unused, within, without
 from .textscan import WORD, Chunk, chunks, counted, mix64, ngrams, row_digest, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -172,6 +172,7 @@ def bags(docs: DataFrame, text: Column, bits: int = 64) -> DataFrame:
                 some = np.flatnonzero(digest)
                 blobs = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(cut[some], cut[some + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(digest[some])), pa.array(signed(other[some])), pa.array(blobs, pa.binary())], names=["k", "k2", "bag"])
+        give_back()
 
     return docs.select(text.alias("text")).mapInArrow(work, "k long, k2 long, bag binary")
 
@@ -218,6 +219,7 @@ def verified(pairs: DataFrame, held: DataFrame, count: int) -> DataFrame:
                     last, right = y, opened_bag(y)
                 ok[i] = probability_jaccard(*opened_bag(x.as_buffer()), *right) >= SIMILARITY - 1e-9
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["k", "p"]).filter(pa.array(ok))
+        give_back()
 
     few = count <= BROADCAST_IDS
 
@@ -257,6 +259,7 @@ def _similar_across(key: tuple, table: pa.Table) -> pa.Table:
                 found.append((names[root[x]], names[root[y]]))
                 root[root == root[y]] = root[x]
     ends = np.array(found, np.int64).reshape(-1, 2)
+    give_back()
     return pa.table({"k": ends[:, 0], "p": ends[:, 1]})
 
 

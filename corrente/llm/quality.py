@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, arrow_limits, materialised, named, order_hash, over_batches, row_key, without
+from .common import added, arrow_limits, give_back, materialised, named, order_hash, over_batches, row_key, without
 from .textscan import NONBLANK, WORD, Chunk, chunks, mix64, ngrams, row_of
 
 WORD_BUCKETS, SHAPE_BUCKETS = 8192, 2048
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str, id_col: str) -> np.nd
                 raw += np.bincount(b, minlength=BUCKETS)
                 target += np.bincount(b[good[chunk.first_row : chunk.first_row + chunk.n_rows][r]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["b", "raw", "target"])
 
     marked = docs.select(named(text_col).alias("text"), named(id_col).alias("doc_id")).join(F.broadcast(sample), "doc_id", "left").select("text", "y")
