@@ -64,7 +64,7 @@ class Custom(Base):
         take, hidden = list(columns) or self.columns, self._names()
         inner = [f"{HIDDEN}{len(hidden)}"] if self.directions is not None else []
         full = self._hidden_schema(", ".join([*(f"{c} long" for c in inner), schema]))
-        kind = _arrow_schema(full)
+        kind = arrow_schema(full)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -74,10 +74,10 @@ class Custom(Base):
                     for i, x in enumerate(f(*value)):
                         rows.append((*order, *([i] if inner else []), *(x if isinstance(x, tuple) else (x,))))
                         if len(rows) >= _ROWS:
-                            yield _batch(rows, kind)
+                            yield arrow_batch(rows, kind)
                             rows = []
                 if rows:
-                    yield _batch(rows, kind)
+                    yield arrow_batch(rows, kind)
 
         return type(self)(self.frame.mapInArrow(work, full), (*self.directions, True) if self.directions is not None else None)
 
@@ -107,7 +107,7 @@ class Custom(Base):
     def scan_py(self, folder: Callable[[Any, Any], Any], seed: Any, kind: str) -> Self:
         """All states of fold_py, the seed first, as the column ``value``."""
         names, full = self.columns, f"{HIDDEN}0 long, value {kind}"
-        schema = _arrow_schema(full)
+        schema = arrow_schema(full)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state, at = seed, 0
@@ -117,7 +117,7 @@ class Custom(Base):
                     state, at = folder(state, x), at + 1
                     rows.append((at, state))
                 if rows:
-                    yield _batch(rows, schema)
+                    yield arrow_batch(rows, schema)
 
         first = self.spark.createDataFrame([(0, seed)], full)
         return type(self)(first.unionByName(self._one_sorted_task().mapInArrow(work, full)), (True,))
@@ -128,7 +128,7 @@ class Custom(Base):
         rows = self.frame.withColumn("__key", k)
         rows = rows.repartition("__key").sortWithinPartitions(F.col("__key").asc_nulls_first(), *self._order())
         full = f"key {rows.schema['__key'].dataType.simpleString()}, value {kind}"
-        schema = _arrow_schema(full)
+        schema = arrow_schema(full)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begun, now, state = False, None, None
@@ -141,9 +141,9 @@ class Custom(Base):
                         begun, now, state = True, k, init()
                     state = folder(state, x)
                 if done:
-                    yield _batch(done, schema)
+                    yield arrow_batch(done, schema)
             if begun:
-                yield _batch([(now, state)], schema)
+                yield arrow_batch([(now, state)], schema)
 
         return type(self)(rows.mapInArrow(work, full))
 
@@ -166,11 +166,11 @@ class Custom(Base):
 _ROWS = 10_000
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.DataType.fromDDL(ddl))
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 

@@ -12,8 +12,9 @@ from ..functions.rows import HIDDEN, Expression, column, truth
 from ..plans.durable import materialised
 from .base import Base, Desc
 
-#: Distinct keys that one task sorts by a comparison, and how many key samples may set their bounds.
-KEYS_A_BUCKET, MAX_BUCKETS = 4096, 512
+#: Distinct keys that one array holds for a sort by a comparison, on average; bounds that cut a bucket into smaller ones at once; levels of bounds whose table is broadcast.
+KEYS_A_BUCKET, BOUNDS, BROADCAST_LEVELS = 4096, 512, 2
+_PLACE_BITS = 15
 
 
 class Limits(Base):
@@ -60,7 +61,7 @@ class Limits(Base):
     def sort_by_using(self, key: Expression, comparer: Callable[[Column, Column], Column] | None = None, *, keys: Callable[[Column], list[Any]] | None = None) -> Self:
         """By a comparison of keys: comparer(a, b) is below 0, 0 or above 0.
 
-        ``keys`` states the same order by sort keys of the key, which is a plain sort.  A comparer is applied to distinct keys only: a sample of them bounds buckets, which are sorted one by one, and every element gets the rank of its key.  So a key that a third of all elements have costs one comparison."""
+        ``keys`` states the same order by sort keys of the key, which is a plain sort.  A comparer is applied to distinct keys only, null being the first of them: samples of them bound buckets, which are cut again until they are small, then sorted one by one, and every element gets the rank of its key.  So a key that a third of all elements have costs one comparison."""
         k = column(key, self.row)
         if keys is not None:
             return self._ordered_by([(column(x.key, self.row), False) if isinstance(x, Desc) else (column(x, self.row), True) for x in keys(k)])
@@ -68,18 +69,11 @@ class Limits(Base):
             raise ValueError("sort_by_using needs a comparer or keys")
         keyed = self.frame.withColumn("__key", k)
         distinct = materialised(keyed.select("__key").distinct())
-        count = distinct.count()
-        parts = min(MAX_BUCKETS, count // KEYS_A_BUCKET)
-        bucket = F.lit(0)
-        if parts > 1:
-            sample = distinct.orderBy(F.xxhash64("__key")).limit(parts).agg(F.array_sort(F.collect_list("__key"), comparer).alias("__bounds"))
-            distinct = distinct.crossJoin(F.broadcast(sample))  # one row
-            bucket = F.size(F.filter("__bounds", lambda b: comparer(b, F.col("__key")) <= 0))
-        runs = distinct.groupBy(bucket.alias("__bucket")).agg(F.array_sort(F.collect_list("__key"), comparer).alias("__run"))
-        ranked = runs.select("__bucket", F.posexplode("__run").alias("__at", "__key"))
+        runs = _bucketed(distinct, comparer).groupBy("__bucket").agg(_sorted_keys(comparer).alias("__run"))
+        ranked = runs.select("__bucket", F.posexplode("__run").alias("__at", "__item")).select("__bucket", "__at", "__item.__key")
         # keys that compare as equal share the rank of the first of them
         lead = F.expr("lag(__key) over (partition by __bucket order by __at)")
-        ranked = ranked.withColumn("__new", F.when(F.col("__at") == 0, 1).otherwise((comparer(lead, F.col("__key")) != 0).cast("int")))
+        ranked = ranked.withColumn("__new", F.when(F.col("__at") == 0, 1).otherwise((_nulls_first(comparer, lead, F.col("__key")) != 0).cast("int")))
         ranked = ranked.withColumn("__rank", F.expr("sum(__new) over (partition by __bucket order by __at)"))
         both = keyed.join(materialised(ranked.select("__key", "__bucket", "__rank")).withColumnRenamed("__key", "__key2"), F.col("__key").eqNullSafe(F.col("__key2")))
         return self._ordered_by([(F.col("__bucket"), True), (F.col("__rank"), True)], both)
@@ -87,3 +81,29 @@ class Limits(Base):
     def top(self, n: int, key: Expression) -> Self:
         """sort_by_descending and take: each task keeps its n best."""
         return self.sort_by_descending(key).take(n)
+
+
+def _nulls_first(comparer: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """Comparers see no nulls."""
+    return F.when(a.isNull() | b.isNull(), b.isNull().cast("int") - a.isNull().cast("int")).otherwise(comparer(a, b))
+
+
+def _sorted_keys(comparer: Callable[[Column, Column], Column]) -> Column:
+    """The keys in structs, as arrays are collected without their nulls."""
+    return F.array_sort(F.collect_list(F.struct("__key")), lambda a, b: _nulls_first(comparer, a["__key"], b["__key"]))
+
+
+def _bucketed(distinct: DataFrame, comparer: Callable[[Column, Column], Column]) -> DataFrame:
+    """The keys with their bucket; buckets ascend in the order, and keys that compare as equal share one.  Every level cuts all buckets by samples of their own keys, chosen by a hash, so the number of buckets follows that of the keys."""
+    out, count, buckets, level = distinct.withColumn("__bucket", F.lit(0).cast("long")), distinct.count(), 1, 0
+    while count > buckets * KEYS_A_BUCKET:
+        cuts = min(BOUNDS, -(-count // (buckets * KEYS_A_BUCKET)))
+        chosen = F.xxhash64(F.lit(level), "__key") < int(min(1.0, buckets * cuts / count) * 2**64) - 2**63
+        bounds = out.where(chosen).groupBy("__bucket").agg(_sorted_keys(comparer).alias("__bounds"))
+        # BOUNDS keys a bucket: few enough at first, while later a bucket is too small a key to be a hot one
+        both = out.join(F.broadcast(bounds) if level < BROADCAST_LEVELS else bounds, "__bucket", "left")
+        below = F.filter("__bounds", lambda b: _nulls_first(comparer, b["__key"], F.col("__key")) <= 0)
+        place = F.when(F.col("__bounds").isNull(), 0).otherwise(F.size(below))
+        out = materialised(both.select("__key", (F.shiftleft("__bucket", _PLACE_BITS) + place).alias("__bucket")))
+        buckets, level = buckets * cuts, level + 1
+    return out

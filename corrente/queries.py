@@ -408,6 +408,35 @@ def generate_infinite_take(spark: SparkSession, d: str) -> DataFrame:
     return S.generate_infinite(spark, lambda: F.lit(7)).take(100).df
 
 
+@_query("generate_infinite_state", "select i as place, cast(1 + i * (i + 1) / 2 as bigint) as value from range(3000) t(i)")
+def generate_infinite_state(spark: SparkSession, d: str) -> DataFrame:
+    """Of a Python function with a state: 1, 2, 4, 7, ..."""
+
+    def make():  # noqa: ANN202
+        state = [0, 1]
+
+        def f() -> int:
+            out = state[1]
+            state[0], state[1] = state[0] + 1, state[1] + state[0] + 1
+            return out
+
+        return f
+
+    return S.generate_infinite_py(spark, make, "value long").take(3000).mapi(lambda i, r: {"place": i, "value": r.value}).df
+
+
+@_query("zip_infinite", "select i * i + 3 * j as value from (select i, row_number() over (order by i) - 1 j from range(5000) t(i) where i % 5 = 2) where j < 900")
+def zip_infinite(spark: SparkSession, d: str) -> DataFrame:
+    """Of two endless flows, one of them filtered."""
+    fifths = S.init_infinite(spark, lambda i: i).filter(lambda r: r.value % 5 == 2).map(lambda r: r.value * r.value)
+    return fifths.zip_with(S.init_infinite(spark, lambda i: i * 3), lambda a, b: a.value + b.value).take(900).df
+
+
+@_query("scan_infinite", "select cast(i * (i + 1) / 2 as bigint) as value from range(2000) t(i)")
+def scan_infinite(spark: SparkSession, d: str) -> DataFrame:
+    return S.init_infinite(spark, lambda i: i + 1).scan("sum", lambda r: r.value, F.lit(0).cast("long")).take(2000).df
+
+
 @_query("of_text_lines", "select cast(row_number() over (order by o_orderkey) - 1 as bigint) line, 'This is file entry #' || o_orderkey as value from orders")
 def of_text_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines written and read again, with their numbers."""

@@ -90,15 +90,23 @@ def test_limits_are_independent_and_caches_whole(spark):
     assert f.take(0).values() == []
 
 
-def test_comparer_over_many_keys(spark, monkeypatch):
+@pytest.mark.parametrize("bounds, broadcast", [(512, 2), (3, 2), (2, 0)])
+def test_comparer_over_many_keys(spark, monkeypatch, bounds, broadcast):
     from corrente.operators import limits
 
-    monkeypatch.setattr(limits, "KEYS_A_BUCKET", 10)
+    for name, value in (("KEYS_A_BUCKET", 10), ("BOUNDS", bounds), ("BROADCAST_LEVELS", broadcast)):
+        monkeypatch.setattr(limits, name, value)
     xs = [(i * 37) % 101 for i in range(300)]
     by = lambda a, b: F.signum((b % 50 - a % 50).cast("double")).cast("int")
     assert S.of_rows(spark, xs, "int").sort_by_using(lambda r: r.value, by).values() == sorted(xs, key=lambda x: -(x % 50))
 
 
+def test_comparer_keeps_nulls(spark):
+    by = lambda a, b: F.signum((b - a).cast("double")).cast("int")
+    assert S.of_rows(spark, [1, None, 3, None], "int").sort_by_using(lambda r: r.value, by).values() == [None, None, 3, 1]
+    assert S.empty(spark, "int").sort_by_using(lambda r: r.value, by).values() == []
+
+
 def test_endless(spark):
     squares = S.init_infinite(spark, lambda i: i * i)
     assert squares.take(4).values() == [0, 1, 4, 9]
@@ -108,6 +116,14 @@ def test_endless(spark):
     assert squares.take_while(lambda r: r.value < 30).length() == 6
     assert S.generate_infinite(spark, lambda: F.lit("x")).take(2).values() == ["x", "x"]
     assert squares.zip_with(S.of_rows(spark, [5, 6], "int"), lambda a, b: a.value + b.value).values() == [5, 7]
+    odd = squares.filter(lambda r: r.value % 2 == 1)
+    assert squares.zip_with(odd, lambda a, b: b.value - a.value).take(3).values() == [1, 8, 21]
+    assert squares.scan("sum", lambda r: r.value, 0).take(5).values() == [0, 0, 1, 5, 14]
+    assert squares.map_py(lambda x: x["value"] + 1, "value long").take(3).values() == [1, 2, 5]
+    assert squares.try_pick(lambda r: F.when(r.value > 50, -r.value)).value == -64
+    counter = S.generate_infinite_py(spark, lambda: iter(range(1, 10**9)).__next__, "value long")
+    assert counter.take(3).values() == [1, 2, 3]
+    assert counter.filter(lambda r: r.value % 1000 == 0).take(2).values() == [1000, 2000]
     with pytest.raises(Unbounded):
         squares.sum()
 
