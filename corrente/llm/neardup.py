@@ -20,7 +20,8 @@ prefix filtering first: if two bags are as similar as that, what they share
 weighs that share of each, so the rarest shingle that they share stands among
 the rarest of each, before the last ``SIMILARITY`` of its weight.  Only entries
 that have such a shingle in common are tested, as pairs if they are few, else by
-tasks that hold the bags of two blocks of entries.
+tasks that hold the bags of two blocks of entries; groups of many entries that
+overlap are joined first where that leaves fewer pairs.
 Classes are the connected components of the links, found by label propagation
 with pointer jumping: in one task up to ``LOCAL_LINKS`` links, beyond that over
 all tasks and checkpoints, with the same result.
@@ -68,6 +69,8 @@ BROADCAST_IDS = 1_000_000
 FEW_JOINS = 0.01
 #: Entries of a bucket up to which its last pairs are rows; beyond, blocks of BLOCK entries on average are compared as wholes.
 PAIRED, BLOCK = 32, 1000
+#: In the comparison of blocks, shingles of less than one in so many entries are added pair by pair; numbers that one step of it takes.
+FEW_OF, PAIRS_AT_ONCE = 16, 1 << 20
 
 
 def shingles(chunk: Chunk, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,30 +235,57 @@ def verified(pairs: DataFrame, held: DataFrame, count: int) -> DataFrame:
     return packed(both.select("k", "p", "bag_k", "bag_p"), ROWS_A_BAG * count).mapInArrow(work, "k long, p long")
 
 
+def shared_weight(row: np.ndarray, at: np.ndarray, w: np.ndarray, n: int, cut: int) -> np.ndarray:
+    """(n, n): the weight in x of the shingles that x and y share, for rows x and y on either side of ``cut`` (0: for all); at: the shingles as places in a vocabulary.
+
+    A shingle of many rows is a column of a matrix product, one of few adds to its pairs.
+    """
+    out = np.zeros((n, n))
+    order = np.argsort(at, kind="stable")
+    row, w, count = row[order], w[order], np.bincount(at)
+    start, dense = np.cumsum(count) - count, count * FEW_OF > n
+    for c in np.unique(count[~dense & (count > 1)]).tolist():
+        columns, step = start[count == c], max(1, PAIRS_AT_ONCE // c**2)
+        for i in range(0, len(columns), step):
+            place = columns[i : i + step, None] + np.arange(c)
+            x = row[place]
+            np.add.at(out.reshape(-1), (x[:, :, None] * n + x[:, None, :]).reshape(-1), np.repeat(w[place].reshape(-1), c))
+    columns, step = np.flatnonzero(dense & (count > 1)), max(1, PAIRS_AT_ONCE // n)
+    for i in range(0, len(columns), step):
+        some = columns[i : i + step]
+        place = np.repeat(start[some] - np.cumsum(count[some]) + count[some], count[some]) + np.arange(count[some].sum())
+        weight = np.zeros((n, len(some)))
+        weight[row[place], np.repeat(np.arange(len(some)), count[some])] = w[place]
+        has = (weight > 0).astype(float)
+        if cut:
+            out[:cut, cut:] += weight[:cut] @ has[cut:].T
+            out[cut:, :cut] += weight[cut:] @ has[:cut].T
+        else:
+            out += weight @ has.T
+    return out
+
+
 def _similar_across(key: tuple, table: pa.Table) -> pa.Table:
-    """(k, p): links that join all classes of the rows (i, j, own, c, bag) that similar pairs join, of own block i and j if these differ."""
-    bag = [x.as_buffer() for x in table["bag"].combine_chunks()]
+    """(k, p): links that join all classes of the rows (own, c, bag) that similar pairs join, of own block i and j (in the key) if these differ."""
+    i, j = key[1].as_py(), key[2].as_py()
+    own = table["own"].to_numpy()
+    order = np.argsort(own != i, kind="stable")
+    cut = int((own == i).sum()) if i != j else 0
+    bag = [x.as_buffer() for x in table["bag"].take(pa.array(order)).combine_chunks()]
+    names, root = np.unique(table["c"].to_numpy()[order], return_inverse=True)
     n = np.array([len(x) // BAG_BYTES for x in bag])
     keys, w = zip(*map(opened_bag, bag), strict=True)
-    off, flat = np.append(0, np.cumsum(n)), np.concatenate(w)
-    vocabulary, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.add.reduceat(flat, off[:-1])
-    row = np.repeat(np.arange(len(n)), n)
-    own, (names, root) = table["own"].to_numpy(), np.unique(table["c"].to_numpy(), return_inverse=True)
-    cross = key[1].as_py() != key[2].as_py()
-    mine, found = np.zeros(len(vocabulary)), []
-    for x in range(len(n) - 1):
-        lo = off[x + 1]
-        mine[at[off[x] : lo]] = w[x]
-        a, b, r = mine[at[lo:]], flat[lo:], row[lo:] - x - 1
-        mine[at[off[x] : lo]] = 0.0
-        hit = np.flatnonzero(a)
-        a, b, r = a[hit], b[hit], r[hit]
-        rest = total[x + 1 :] - np.bincount(r, b, len(n) - x - 1)
-        # max(wa'/wa, wb'/wb) is wa'/wa at least, so this is not below the similarity
-        most = np.bincount(r, 1 / (total[x] / a + np.maximum(rest, 0.0)[r] / b), len(n) - x - 1)
-        for y in (np.flatnonzero(most >= SIMILARITY - 1e-8) + x + 1).tolist():
-            if root[x] != root[y] and not (cross and own[x] == own[y]) and probability_jaccard(keys[x], w[x], keys[y], w[y]) >= SIMILARITY - 1e-9:
+    flat, row = np.concatenate(w), np.repeat(np.arange(len(n)), n)
+    total = np.bincount(row, flat)
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    # with the shares p and q of the two weights that are in common the similarity is 1 / (1 / p + 1 / q - 1) at most: max(wa'/wa, wb'/wb) is wa'/wa at least, and
+    # wb'/wb where only b has d', and the sum over d of 1 / (1 / x + r / y) is not above the same of the sums of x and of y
+    with np.errstate(divide="ignore"):
+        inverse = total[:, None] / shared_weight(row, at, flat, len(n), cut)
+    near, found = inverse + inverse.T <= 1 + 1 / SIMILARITY + 1e-6, []
+    for x in range(cut or len(n)):
+        for y in (np.flatnonzero(near[x, cut or x + 1 :] & (root[cut or x + 1 :] != root[x])) + (cut or x + 1)).tolist():
+            if root[x] != root[y] and probability_jaccard(keys[x], w[x], keys[y], w[y]) >= SIMILARITY - 1e-9:
                 found.append((names[root[x]], names[root[y]]))
                 root[root == root[y]] = root[x]
     ends = np.array(found, np.int64).reshape(-1, 2)
@@ -263,6 +293,21 @@ def _similar_across(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"k": ends[:, 0], "p": ends[:, 1]})
 
 
+def families(rows: DataFrame) -> DataFrame:
+    """(b, k): groups in which all pairs meet that meet in a group of the rows (b, k, m), m the size of b's.  Groups that overlap, directly or through others, become one where that is no more pairs, so that two entries do not meet again for each shingle they share."""
+
+    def small(df: DataFrame) -> DataFrame:
+        df = materialised(df)
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    least = small(rows.groupBy("b").agg(F.min("k").alias("p"), F.first("m").cast("double").alias("m")))
+    family = components(materialised(rows.select("b", "k").join(least, "b").select("k", "p").distinct())).toDF("k", "family")
+    apart = least.join(family.toDF("p", "family"), "p").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    whole = small(family.groupBy("family").agg(F.count("*").cast("double").alias("m")).join(apart, "family").select("family", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole")))
+    both = rows.select("b", "k").join(family, "k").join(whole, "family")
+    return materialised(both.select(F.when(F.col("whole"), F.col("family")).otherwise(F.col("b")).alias("b"), "k").distinct())
+
+
 def _least_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, c) of the edges (k, p) of one task."""
     ends = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
@@ -365,8 +410,9 @@ def links(docs: DataFrame, entries: DataFrame, text: Column, clash: DataFrame |
         large = rows.where(F.col("m") > PAIRED).select("b", "k", "m")
         if large.isEmpty():
             return label
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        large = classed(large, label).select("b", "k", "c", blocks.alias("g"))
+        large = families(large)
+        blocks = large.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+        large = classed(large.join(blocks, "b"), label).select("b", "k", "c", "g")
         large = large.withColumn("own", F.pmod(order_hash("k", seed="block"), F.col("g")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
         large = large.select("b", "k", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         new = large.join(held, "k").select("b", "i", "j", "own", "c", "bag").groupBy("b", "i", "j").applyInArrow(_similar_across, "k long, p long")

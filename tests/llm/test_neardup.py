@@ -149,3 +149,50 @@ def test_every_similar_pair_shares_a_rare_shingle():
         prefixes.append(some)
     pairs = [(i, j) for i in range(60) for j in range(i) if similarity(bags_[i], bags_[j]) >= 0.8]
     assert len(pairs) > 50 and all(prefixes[i] & prefixes[j] for i, j in pairs)
+
+
+def test_blocks_meet_a_pair_once(spark, monkeypatch, tmp_path):
+    """Entries of one family share many rare shingles each; the pairs that blocks compare are those of the family, not those of each shingle."""
+    compare = neardup._similar_across
+
+    def noted(key, table):
+        own = table["own"].to_numpy()
+        first, second = (own == key[1].as_py()).sum(), (own == key[2].as_py()).sum()
+        pairs = first * second if key[1].as_py() != key[2].as_py() else first * (first - 1) // 2
+        (tmp_path / "-".join(str(x.as_py()) for x in key)).write_text(str(pairs))
+        return compare(key, table)
+
+    monkeypatch.setattr(neardup, "_similar_across", noted)
+    monkeypatch.setattr(neardup, "PAIRED", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    rng, rows = np.random.default_rng(7), []
+    for i in range(200):
+        words = [f"w{x}" for x in range(300)]
+        for x in rng.choice(300, rng.integers(3, 8), replace=False):
+            words[x] = f"t{i}x{x}"
+        rows.append((i, " ".join(words)))
+    out = {r.doc_id: r.class_id for r in neardup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags_, expect = [bag(t)[1].keys() for _, t in rows], list(range(200))
+    for i in range(200):
+        for j in range(i):
+            # no shingle occurs twice, so all weigh 1
+            if len(bags_[i] & bags_[j]) >= 0.8 * len(bags_[i] | bags_[j]):
+                expect = [min(expect[i], expect[j]) if c in (expect[i], expect[j]) else c for c in expect]
+    assert [out[i] for i in range(200)] == expect and len(set(expect)) > 10
+    assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 200 * 199 // 2
+
+
+@pytest.mark.parametrize("few", [1, 16, 10_000])
+@pytest.mark.parametrize("cut", [0, 17])
+def test_shared_weight_by_both_ways(monkeypatch, few, cut):
+    monkeypatch.setattr(neardup, "FEW_OF", few)
+    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", 100)
+    rng = np.random.default_rng(4)
+    bags_ = [{int(k): float(w) for k, w in zip(rng.choice(200, 30, replace=False) // rng.integers(1, 9), rng.uniform(1, 3, 30), strict=True)} for _ in range(40)]
+    row = np.repeat(np.arange(40), [len(b) for b in bags_])
+    _, at = np.unique([k for b in bags_ for k in b], return_inverse=True)
+    out = neardup.shared_weight(row, at, np.array([w for b in bags_ for w in b.values()]), 40, cut)
+    for x in range(40):
+        for y in range(40):
+            if x != y and (not cut or (x < cut) != (y < cut)):
+                assert abs(out[x, y] - sum(w for k, w in bags_[x].items() if k in bags_[y])) < 1e-9
