@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import HIDDEN, Expression, Row, column, named, truth
+from ..functions.rows import HIDDEN, Expression, Row, column, named
 from .base import Base
 
 
@@ -74,4 +74,5 @@ class Project(Base):
         """filter by a search in another flow: elements a with (``negate``: without) some b for which on(a, b) is true."""
         a, b = Row(self.columns), Row(other.columns, "__b")
         right = other.frame.select(F.struct(*other._payload()).alias("__b"))
-        return self._same(self.frame.join(right, truth(on, a, b) if negate else column(on, a, b), "left_anti" if negate else "left_semi"))
+        # a null condition finds nothing in either join; a coalesce around it would hide its equalities, and the join would compare every pair
+        return self._same(self.frame.join(right, column(on, a, b), "left_anti" if negate else "left_semi"))

@@ -210,3 +210,13 @@ def test_streams(spark, tmp_path):
     assert sorted(r.y for r in spark.table("doubled").collect()) == [2, 4, 20, 40]
     assert {r.key: r.v for r in spark.sql("select key, max(value) v from folded group by key").collect()} == {"a": 3, "b": 30}
     assert {r.key: r["count"] for r in spark.table("counted").collect()} == {"a": 3, "b": 3}
+
+
+def test_null_keys_find_nothing_in_another_flow(spark):
+    a, b = S.of_rows(spark, [1, None, 2, 2, 5], "int"), S.of_rows(spark, [2, None, 7], "int")
+    on = lambda x, y: x.value == y.value
+    assert a.exists_in(b, on).values() == [2, 2]
+    assert a.exists_in(b, on, negate=True).values() == [1, None, 5]
+    assert a.exists_in(b, lambda x, y: x.value < y.value, negate=True).values() == [None]
+    assert a.exists_in(b, lambda x, y: x.value.eqNullSafe(y.value), negate=True).values() == [1, 5]
+    assert a.exists_in(S.empty(spark, "int"), on, negate=True).values() == [1, None, 2, 2, 5]

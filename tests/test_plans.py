@@ -60,3 +60,8 @@ def test_core_does_not_need_the_language_model_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_searches_in_another_flow_compare_no_pairs(spark):
+    for name in ("filter_exists", "filter_not_exists"):
+        assert "NestedLoop" not in inspect.physical(Q.queries()[name](spark, SF)), name
