@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corrente import Flow
 from corrente import queries as Q
 from corrente import sources as S
 from corrente.plans import inspect
@@ -65,3 +66,33 @@ def test_core_does_not_need_the_language_model_package():
 def test_searches_in_another_flow_compare_no_pairs(spark):
     for name in ("filter_exists", "filter_not_exists"):
         assert "NestedLoop" not in inspect.physical(Q.queries()[name](spark, SF)), name
+
+
+def test_few_bytes_of_many_rows_are_numbered_by_ranges(spark, monkeypatch):
+    from corrente.plans import prefix
+
+    monkeypatch.setattr(prefix, "ROWS", 1000, raising=False)
+    order = [F.col("k")]
+    # an array's entries, which the estimate of bytes does not know of, and few rows
+    many = Flow.over(spark.range(2999, 3000)).flat_map(lambda r: F.sequence(F.lit(0).cast("long"), r.id)).frame.select(F.col("value").alias("k"))
+    few = many.where("k < 1000")
+    assert prefix.estimated_bytes(many) < prefix.SMALL
+    out = prefix.indexed(many, order, "at")
+    assert "row_number" not in inspect.physical(out) and "row_number" in inspect.physical(prefix.indexed(few, order, "at"))
+    parts = out.where("k = at").select("k", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 3 and sum(r["count"] for r in parts) == 3000 and max(r["count"] for r in parts) < 2000
+    down = S.of_rows(spark, range(3000), "long").sort_by_descending(lambda r: r.value)
+    assert sorted(down.skip(2990).values()) == list(range(10))
+    assert down.mapi(lambda i, r: r.value + i).map(lambda r: {"value": r.value}).frame.select("value").distinct().collect() == [(2999,)]
+
+
+def test_ranges_follow_rows_and_bytes(spark, monkeypatch):
+    from corrente.plans import prefix
+
+    df = spark.range(100)
+    for rows, size, expect in ((100, 800, 0), (99, 800, 2), (10, 800, 10), (100, 100, 8), (10, 1, 50)):
+        for name, value in (("ROWS", rows), ("SMALL", size), ("LEAST_ROWS", 2)):
+            monkeypatch.setattr(prefix, name, value)
+        assert prefix._ranges(df, size) == expect, (rows, size)
+    monkeypatch.setattr(prefix, "estimated_bytes", lambda df: 2**63)
+    assert prefix._ranges(df, 1) == 10  # rows alone; 2 * 16 rows a range would be fewer
