@@ -75,6 +75,8 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, tuple[str, Colum
         return df.select("*", *[_COMBINE[kind][0](value).over(window).alias(name) for name, (kind, value) in sums.items()])
     parts = _in_ranges(df, order, ranges)
     window = Window.partitionBy(_PART).orderBy(_ID).rowsBetween(Window.unboundedPreceding, last)
-    own = parts.select("*", *[_COMBINE[kind][0](value).over(window).alias(f"__own_{name}") for name, (kind, value) in sums.items()])
+    # a window holds what its task gets: by a hash of the range that would be several ranges, or as many as compressed bytes allow
+    dealt = parts.repartitionByRange(2 * ranges, _PART)  # twice, so that every range has a bound of its own
+    own = dealt.select("*", *[_COMBINE[kind][0](value).over(window).alias(f"__own_{name}") for name, (kind, value) in sums.items()])
     both = own.join(F.broadcast(_before(parts, sums)), _PART)
     return both.select(*df.columns, *[_COMBINE[kind][1](F.col(f"__before_{name}"), F.col(f"__own_{name}")).alias(name) for name, (kind, _) in sums.items()])

@@ -96,3 +96,20 @@ def test_ranges_follow_rows_and_bytes(spark, monkeypatch):
         assert prefix._ranges(df, size) == expect, (rows, size)
     monkeypatch.setattr(prefix, "estimated_bytes", lambda df: 2**63)
     assert prefix._ranges(df, 1) == 10  # rows alone; 2 * 16 rows a range would be fewer
+
+
+def test_few_bytes_of_many_rows_are_summed_up_by_ranges(spark, monkeypatch):
+    from corrente.plans import prefix
+
+    monkeypatch.setattr(prefix, "ROWS", 1000, raising=False)
+    many = Flow.over(spark.range(5999, 6000), "id").flat_map(lambda r: F.sequence(F.lit(0).cast("long"), r.id))
+    frame = many.frame.select(F.col("value").alias("k"))
+    out = prefix.running(frame, [F.col("k")], {"s": ("sum", F.col("k"))}, exclusive=True).select("*", F.spark_partition_id().alias("p"))
+    rows = out.collect()
+    assert {r.k: r.s for r in rows} == {k: k * (k - 1) // 2 if k else None for k in range(6000)}
+    in_a_task = [sum(r.p == p for r in rows) for p in {r.p for r in rows}]
+    assert len(in_a_task) == 6 and max(in_a_task) < 2000
+    for inclusive in (True, False):
+        sizes = many.fold_until(inclusive, lambda r: r.value % 7 != 6, last=lambda r: F.max(r.value)).df.orderBy("group").collect()
+        assert [r["size"] for r in sizes] == [7 if inclusive else 6] * 857 + [1] and sizes[-1]["last"] == 5999
+    assert [r.n for r in many.group_until(True, lambda r: r.value % 7 != 6).map(lambda r: {"n": F.size(r["items"])}).to_list()] == [7] * 857 + [1]
