@@ -113,3 +113,11 @@ def test_few_bytes_of_many_rows_are_summed_up_by_ranges(spark, monkeypatch):
         sizes = many.fold_until(inclusive, lambda r: r.value % 7 != 6, last=lambda r: F.max(r.value)).df.orderBy("group").collect()
         assert [r["size"] for r in sizes] == [7 if inclusive else 6] * 857 + [1] and sizes[-1]["last"] == 5999
     assert [r.n for r in many.group_until(True, lambda r: r.value % 7 != 6).map(lambda r: {"n": F.size(r["items"])}).to_list()] == [7] * 857 + [1]
+
+
+def test_groups_of_many_rows_are_cut_by_ranges(spark, monkeypatch):
+    from corrente.plans import prefix
+
+    monkeypatch.setattr(prefix, "ROWS", 1000, raising=False)
+    many = Flow.over(spark.range(2999, 3000), "id").flat_map(lambda r: F.sequence(F.lit(0).cast("long"), r.id))
+    assert "__row_part" in inspect.physical(many.group_until(True, lambda r: r.value % 7 != 6).df)
